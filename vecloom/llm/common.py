@@ -139,3 +139,9 @@ def run_hashes(codes: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """64-bit hashes of codes[p : p + length] for each p in `at`."""
     c = _prefix(codes, 1)
     return mix((c[at + length] - c[at]) * powers(len(codes) + 1, 1)[1][at])
+
+
+def ids_and_texts(docs: DataFrame) -> DataFrame:
+    """doc_id (long) and text; as plain columns where the type fits, so that equal subplans stay equal."""
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id" if kind == "bigint" else docs["doc_id"].cast("long").alias("doc_id"), "text")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import blocks, cut_lineage, text_buffers
+from vecloom.llm.common import blocks, cut_lineage, ids_and_texts, text_buffers
 
 PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 1_812_433_253)
@@ -104,7 +104,7 @@ def differing_groups(docs: DataFrame, groups: DataFrame, size: int = COMPARE) ->
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = ids_and_texts(docs)
     info = cut_lineage(rows.mapInArrow(_describe, "doc_id long, fp long, n_bytes long, text_sha256 string").withColumn("row", F.monotonically_increasing_id()))
     key = ["fp", "n_bytes"]
     groups = info.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"))
