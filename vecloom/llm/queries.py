@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from vecloom.llm import byte_bpe
 from vecloom.llm import exact_dedup as exact
 from vecloom.llm.common import read_table
+from vecloom.llm.packing import best_fit_packing
 from vecloom.llm.substring_dedup import substring_dedup
 
 
@@ -31,10 +32,15 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_dedup(read_table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_packing(read_table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_byte_bpe": op2_byte_bpe,
     "op7_exact_dedup": op7_exact_dedup,
+    "op8_best_fit_packing": op8_best_fit_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
