@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import blocks, mix, run_hashes, shuffle_width, text_buffers, word_hashes, word_spans
+from vecloom.llm.common import blocks, ids_and_texts, mix, run_hashes, shuffle_width, text_buffers, word_hashes, word_spans
 
 WINDOW = 50
 #: A perfect difference set: every residue modulo 31 is a difference of two members.
@@ -173,7 +173,8 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     """
     if period > window:
         raise ValueError("the period must not exceed the window")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 33).alias("tag"))
+    # the tag tells rows that repeat a doc_id apart
+    rows = ids_and_texts(docs).withColumn("tag", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 33))
     known_ids = rows.filter(F.col("doc_id").isNotNull())
     same = W.partitionBy("key")
     n = shuffle_width(docs)
