@@ -37,7 +37,9 @@ from vecloom.llm.common import blocks, cut_lineage, ids_and_texts
 CAPACITY = 4096
 END_ID = 1
 #: Length bins and documents of the fitted patterns; shorter pieces than LEAST fill the gaps.
-BINS, DEPTH, LEAST = 128, 4, 129
+BINS, DEPTH, LEAST = 128, 3, 800
+#: Bins that a fitted pattern leaves open: best fit closes them with pieces of just that length.
+GAP = 24
 WORD_TABLE = 400_000
 
 
@@ -175,7 +177,7 @@ def _fitted(counts: np.ndarray, capacity: int) -> tuple[list[tuple[tuple[int, ..
     bulk = np.bincount(bin_of, np.where(use, counts, 0), minlength=total + 1)[: total + 1]
     if bulk.sum() < 2:
         return [], left
-    choice = [p for p in patterns(total, DEPTH) if bulk[list(p)].min() >= 1]
+    choice = [p for p in patterns(max(total - GAP, 1), DEPTH) if bulk[list(p)].min() >= 1]
     if not choice:
         return [], left
     a = np.zeros((total + 1, len(choice)))
