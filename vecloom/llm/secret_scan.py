@@ -40,7 +40,7 @@ _WORDS = ("passw", "secret", "token", "api")
 _SYMBOLS = 67  # characters that a token can hold
 
 #: Confidence of the Hoeffding test, and nats a character above evenly drawn ones.
-ALPHA, MARGIN = 0.05, 0.35
+ALPHA, MARGIN = 0.05, 0.2
 #: Different next characters from which on a state counts as open to others.
 OPEN = 8
 
@@ -93,7 +93,8 @@ class Automaton:
             if not edges:
                 break
             edge, _ = max(edges, key=lambda e: e[0][0].n)
-            same = next((s for s in settled if self._compatible(s, edge[0])), None)
+            # of the states that agree with it, the one with the most evidence
+            same = max((s for s in settled if self._compatible(s, edge[0])), key=lambda s: s.n, default=None)
             if same is None:
                 settled.append(edge[0])
             else:
