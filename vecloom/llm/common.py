@@ -13,7 +13,8 @@ import tempfile
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes that one numpy block holds (a longer text is a block of its own).
 BLOCK_BYTES = 1 << 21
@@ -33,20 +34,25 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """df written once to the shared checkpoint folder; later stages reread it.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's own spark.checkpoint.dir.
 
-    The folder is the session's own (spark.checkpoint.dir). A machine-local one
-    is set only where the session has none, as in local tests.
+    A machine-local one is set only where the session has none, as in local tests.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
             if not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = os.path.join(tempfile.gettempdir(), "vecloom-checkpoints")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """df written once to the shared checkpoint folder; later stages reread it."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -145,3 +151,19 @@ def ids_and_texts(docs: DataFrame) -> DataFrame:
     """doc_id (long) and text; as plain columns where the type fits, so that equal subplans stay equal."""
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id" if kind == "bigint" else docs["doc_id"].cast("long").alias("doc_id"), "text")
+
+
+def text_tag() -> Column:
+    """Hash of the text, to tell rows that repeat a doc_id apart."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id and text tag stand in kept (doc_id, tag); of rows that repeat both, one."""
+    keys = ["__no_id", "__id", "__tag"]
+
+    def keyed(df: DataFrame, tag: Column) -> DataFrame:
+        return df.withColumns({"__no_id": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__tag": tag})
+
+    right = keyed(kept, F.col("tag")).select(*keys)
+    return keyed(docs, text_tag()).join(right, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import blocks, cut_lineage, ids_and_texts, text_buffers
+from vecloom.llm.common import blocks, cut_lineage, ids_and_texts, keep_rows, text_buffers, text_tag
 
 PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 1_812_433_253)
@@ -78,7 +78,8 @@ def _describe(batches):
         view = memoryview(data)
         shas = [hashlib.sha256(view[a:b]).hexdigest() for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
-            [block.column("doc_id"), pa.array(fingerprints(data, off, weights)), pa.array(np.diff(off)), pa.array(shas)], names=["doc_id", "fp", "n_bytes", "text_sha256"]
+            [block.column("doc_id"), block.column("tag"), pa.array(fingerprints(data, off, weights)), pa.array(np.diff(off)), pa.array(shas, pa.string())],
+            names=["doc_id", "tag", "fp", "n_bytes", "text_sha256"],
         )
 
 
@@ -104,8 +105,19 @@ def differing_groups(docs: DataFrame, groups: DataFrame, size: int = COMPARE) ->
 
 def exact_dedup(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, keep_id, group_size, kept, text_sha256."""
+    return decide(docs).drop("tag")
+
+
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    return keep_rows(docs, decide(docs).filter("kept"))
+
+
+def decide(docs: DataFrame) -> DataFrame:
+    """exact_dedup with each row's text tag."""
     rows = ids_and_texts(docs)
-    info = cut_lineage(rows.mapInArrow(_describe, "doc_id long, fp long, n_bytes long, text_sha256 string").withColumn("row", F.monotonically_increasing_id()))
+    described = rows.withColumn("tag", text_tag()).mapInArrow(_describe, "doc_id long, tag long, fp long, n_bytes long, text_sha256 string")
+    info = cut_lineage(described.withColumn("row", F.monotonically_increasing_id()))
     key = ["fp", "n_bytes"]
     groups = info.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"))
     differ = differing_groups(rows, groups).withColumn("differ", F.lit(True))
@@ -113,7 +125,7 @@ def exact_dedup(docs: DataFrame) -> DataFrame:
     key = [*key, "part"]
     stays = split.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "row")).alias("stays"))
     return split.join(stays, key).select(
-        "doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("stays.row")).alias("kept"), "text_sha256"
+        "doc_id", F.col("stays.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("stays.row")).alias("kept"), "text_sha256", "tag"
     )
 
 

@@ -227,3 +227,16 @@ def score_documents(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD,
 
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score_documents(docs, train(docs, labels))
+
+
+def drop_bad(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that score at least threshold, with all their columns."""
+    weights, stay = chain.weights, chain.stay
+
+    def run(batches):
+        chain = Chain(weights, stay)
+        for block in blocks(batches):
+            score = chain.quality(*line_features(*text_buffers(block.column("text"))))
+            yield block.filter(pa.array(score >= threshold))
+
+    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import blocks, cut_lineage, ids_and_texts, text_buffers
+from vecloom.llm.common import blocks, cut_lineage, ids_and_texts, keep_rows, text_buffers, text_tag
 from vecloom.llm.components import connected_components
 
 BITS = 64
@@ -70,16 +70,16 @@ def _fingerprints(texts: list[bytes], shingle: int, seed: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """doc_id and fp (signed 64 bits) of every row."""
+    """doc_id, text tag and fp (signed 64 bits) of every row."""
 
     def run(batches):
         for block in blocks(batches):
             data, off = text_buffers(block.column("text"))
             raw = data.tobytes()
             texts = [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(_fingerprints(texts, shingle, seed).view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("tag"), pa.array(_fingerprints(texts, shingle, seed).view(np.int64))], names=["doc_id", "tag", "fp"])
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, fp long")
+    return ids_and_texts(docs).withColumn("tag", text_tag()).mapInArrow(run, "doc_id long, tag long, fp long")
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
@@ -113,11 +113,23 @@ def links(nodes: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id."""
+    labelled, _ = _labelled(docs, shingle, seed)
+    return labelled.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
+    """docs with one row of each component: that of the smallest doc_id (a null one is the largest)."""
+    labelled, component = _labelled(docs, shingle, seed)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag"))
+    return keep_rows(docs, labelled.groupBy(component).agg(first.alias("first")).select("first.doc_id", "first.tag"))
+
+
+def _labelled(docs: DataFrame, shingle: int, seed: int) -> tuple[DataFrame, str]:
     prints = cut_lineage(fingerprints(docs, shingle, seed))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = connected_components(links(nodes.select("fp")))
     member = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     member = cut_lineage(member)
     least = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = member.join(least, "component").select("fp", "component_id")
-    return prints.join(labels, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    labels = member.join(least, "component").select("fp", "component", "component_id")
+    return prints.join(labels, "fp"), "component"
