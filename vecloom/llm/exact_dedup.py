@@ -87,9 +87,17 @@ def _tagged(batches):
     weights = chunk_weights()
     for block in blocks(batches):
         data, off = text_buffers(block.column("text"))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(fingerprints(data, off, weights)), pa.array(np.diff(off)), block.column("text")], names=["fp", "n_bytes", "text"]
-        )
+        prints, sizes = fingerprints(data, off, weights), np.diff(off)
+        # of equal texts within the block one goes on: a large group sends a row a block
+        seen: dict[tuple[int, int], list[bytes]] = {}
+        rows = []
+        for i, key in enumerate(zip(prints.tolist(), sizes.tolist(), strict=True)):
+            text = data[off[i] : off[i + 1]].tobytes()
+            others = seen.setdefault(key, [])
+            if text not in others:
+                others.append(text)
+                rows.append(i)
+        yield pa.RecordBatch.from_arrays([pa.array(prints[rows]), pa.array(sizes[rows]), block.column("text").take(pa.array(rows))], names=["fp", "n_bytes", "text"])
 
 
 def differing_groups(docs: DataFrame, groups: DataFrame, size: int = COMPARE) -> DataFrame:
