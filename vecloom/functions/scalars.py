@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -103,8 +104,6 @@ def murmur3_32(data: bytes, seed: int = 0) -> int:
 
 def murmur3(seed: int = 0):
     """Arrow UDF of a string column: the standard MurmurHash3, as a long (null counts as 0)."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def apply(s: pd.Series) -> pd.Series:
         return s.map(lambda x: 0 if x is None else murmur3_32(x.encode(), seed))

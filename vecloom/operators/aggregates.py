@@ -22,8 +22,9 @@ def _packed(df: DataFrame, by: list[str], name: str) -> DataFrame:
     return df.groupBy(*by).agg(F.transform(gathered, lambda e: e["v"]).alias(name))
 
 
-def _ordered_sum():
-    return F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("vid", "x"))), lambda e: e["x"]), F.lit(0.0), lambda s, x: s + x)
+def _ordered_sum(x="x"):
+    x = F.col(x) if isinstance(x, str) else x
+    return F.aggregate(F.transform(F.array_sort(F.collect_list(F.struct("vid", x.alias("x")))), lambda e: e["x"]), F.lit(0.0), lambda s, x: s + x)
 
 
 def vector_sum(df: DataFrame, by: list[str], ordered: bool = False) -> DataFrame:
@@ -36,9 +37,10 @@ def vector_mean(df: DataFrame, by: list[str], ordered: bool = False) -> DataFram
     return _packed(_exploded(df, by, "vid").groupBy(*by, "pos").agg(total.alias("v")), by, "vec_mean")
 
 
-def weighted_mean(df: DataFrame, by: list[str], weight: str) -> DataFrame:
+def weighted_mean(df: DataFrame, by: list[str], weight: str, ordered: bool = False) -> DataFrame:
     """Weighted by a column; the plain weighted sum where the weights add up to nothing."""
-    sums = _exploded(df, by, weight).groupBy(*by, "pos").agg(F.sum(F.col("x") * F.col(weight)).alias("s"), F.sum(weight).alias("w"))
+    add = _ordered_sum if ordered else F.sum
+    sums = _exploded(df, by, "vid", weight).groupBy(*by, "pos").agg(add(F.col("x") * F.col(weight)).alias("s"), F.sum(weight).alias("w"))
     return _packed(sums.withColumn("v", F.when(F.abs("w") > 1.1920929e-07, F.col("s") / F.col("w")).otherwise(F.col("s"))), by, "vec_mean")
 
 

@@ -117,5 +117,36 @@ class IvfIndex:
         return S._ranked(found if radius >= 0 else found.limit(0), self.metric, capacity)
 
 
+def pq_knn(rows: DataFrame, queries: DataFrame, quantizer: ProductQuantizer, k: int = 10) -> DataFrame:
+    """Exact scan of product codes: each distance is a sum over the query's lookup table. Squared L2, or negative product for IP."""
+    packed = queries.select("query_id", "qvec").toArrow()
+    dim = quantizer.books.shape[0] * quantizer.books.shape[2]
+    at, q = S.matrix(packed.column("qvec"), dim)
+    if 8 * len(q) * (dim + 1) > S.QUERY_BYTES:
+        raise InvalidParameter("more queries than one scan carries; split the query set")
+    qid = packed.column("query_id").to_numpy()[at]
+    tables = [quantizer.table(v) for v in q.astype(np.float64)]
+
+    def run(batches):
+        for batch in batches:
+            at, x = S.matrix(batch.column("vec"), dim)
+            if not len(at):
+                continue
+            codes, vid = quantizer.encode(x), batch.column("vid").to_numpy(zero_copy_only=False)[at]
+            ids, vids, ds = [], [], []
+            for i, table in enumerate(tables):
+                d = np.zeros(len(at))
+                for s, own in enumerate(table):
+                    d = d + own[codes[:, s]]
+                best = S._best(d, vid, k)
+                ids.append(np.full(len(best), qid[i]))
+                vids.append(vid[best])
+                ds.append(d[best])
+            yield S._emit(ids, vids, ds)
+
+    metric = "ip" if quantizer.metric == "ip" else "l2"
+    return S._ranked(rows.select("vid", "vec").filter("vid is not null and vec is not null").mapInArrow(run, S._FOUND), metric, k)
+
+
 def distances_to(metric: str, queries: np.ndarray, centroids: np.ndarray) -> np.ndarray:
     return S.distances(metric, queries, centroids)
