@@ -48,7 +48,7 @@ _DIGITS, _SMALL, _LARGE = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHI
 #: Credential formats of the labelled examples, as (kind, opening, alphabet, length of the rest).
 FORMATS = (
     ("access_id", "ASIA", _DIGITS + _LARGE, 16),
-    ("chat_token", "xoxb-", _DIGITS, 24),
+    ("chat_token", "xoxb-", _DIGITS + _SMALL + _LARGE, 40),
     ("code_host_token", "ghp_", _DIGITS + _SMALL + _LARGE, 36),
     ("map_key", "AIza", _DIGITS + _SMALL + _LARGE + "-_", 35),
     ("package_token", "npm_", _DIGITS + _SMALL + _LARGE, 36),
