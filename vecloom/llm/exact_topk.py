@@ -93,6 +93,8 @@ def _pack(scale: int, rows: int, parts: int, every: int):
 
 def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Places of the k best of one query: higher scores, then smaller ids."""
+    if scores.dtype == object:
+        return np.array(sorted(range(len(scores)), key=lambda i: (-scores[i], ids[i]))[:k], np.int64)
     if len(scores) > k:
         kth = np.partition(scores, len(scores) - k)[len(scores) - k]
         at = np.flatnonzero(scores >= kth)
@@ -102,12 +104,15 @@ def best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T as 64-bit integers, exact."""
+    """a @ b.T, exact: 64-bit integers, or Python's where doubles could round."""
     most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * a.shape[1]
     if most < 2**53:
         return (a @ b.T).astype(np.int64)
-    exact = [[sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for q in b] for p in a]
-    return np.array(exact, np.int64).reshape(len(a), len(b))  # OverflowError beyond 64 bits
+    out = np.empty((len(a), len(b)), object)
+    for i, p in enumerate(a.tolist()):
+        for j, q in enumerate(b.tolist()):
+            out[i, j] = sum(int(x) * int(y) for x, y in zip(p, q, strict=True))
+    return out
 
 
 _LIST = "query_id long, row int, vec_id long, score long"
@@ -125,7 +130,7 @@ def _cells(k: int):
                     for i, s in zip(range(at, at + 128), scores, strict=False):
                         own = np.flatnonzero(ci != qi[i])
                         pick = own[best(s[own], ci[own], k)]
-                        out.append((np.full(len(pick), qi[i]), ci[pick], s[pick]))
+                        out.append((np.full(len(pick), qi[i]), ci[pick], s[pick].astype(np.int64)))
                 query, vec, score = (np.concatenate(x) for x in zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(query), pa.array(np.full(len(query), r["row"], np.int32)), pa.array(vec), pa.array(score)], names=["query_id", "row", "vec_id", "score"])
 
