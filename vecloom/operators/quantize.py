@@ -47,8 +47,8 @@ class ScalarQuantizer:
 
     def encode_column(self, vec: Column | str) -> Column:
         low, scale = F.lit(self.low.tolist()), F.lit(self.scale.tolist())
-        pairs = F.arrays_zip(F.col(vec) if isinstance(vec, str) else vec, low.alias("low"), scale.alias("scale"))
-        return F.transform(pairs, lambda p: F.floor(F.least(F.greatest((p["0"].cast("double") - p["low"]) * p["scale"], F.lit(0.0)), F.lit(255.0)) + 0.5).cast("int"))
+        v = F.col(vec) if isinstance(vec, str) else vec
+        return F.transform(v, lambda x, i: F.floor(F.least(F.greatest((x.cast("double") - F.get(low, i)) * F.get(scale, i), F.lit(0.0)), F.lit(255.0)) + 0.5).cast("int"))
 
 
 def sq_code(x: Column, low: Column, high: Column) -> Column:

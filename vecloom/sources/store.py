@@ -35,6 +35,7 @@ from vecloom.plans.config import (
     InvalidParameter,
     Metric,
     NotFound,
+    NotSupported,
     access_path,
 )
 from vecloom.sources.files import Files
@@ -54,6 +55,8 @@ class Collection:
     # state
 
     def _save(self, **changes) -> None:
+        if self.database.read_only:
+            raise NotSupported("the database is open for reading only")
         self.manifest |= changes
         if not self.database.in_transaction():
             self.files.write_text(f"{self.path}/manifest.json", json.dumps(self.manifest))
@@ -376,8 +379,10 @@ class Database:
             raise AlreadyExists(new)
         self._open.pop(old, None)
         self.files.rename(f"{self.path}/{old}", f"{self.path}/{new}")
-        c = self.collection(new)
-        c._save(config=c.manifest["config"] | {"name": new})
+        place = f"{self.path}/{new}/manifest.json"
+        manifest = json.loads(self.files.read_text(place))
+        manifest["config"]["name"] = new
+        self.files.write_text(place, json.dumps(manifest))
 
     def insert(self, name: str, vector, meta: dict | None = None) -> int:
         return self.collection(name).insert(vector, meta)
