@@ -36,8 +36,8 @@ WINDOW = 50
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 
-_ROWS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("run", pa.int32()), ("known", pa.bool_())])
-_ROWS_SQL = "key long, doc_id long, at long, run int, known boolean"
+_ROWS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("run", pa.int32()), ("known", pa.bool_()), ("more", pa.list_(pa.int32()))])
+_ROWS_SQL = "key long, doc_id long, at long, run int, known boolean, more array<int>"
 
 
 def _split_groups(keys: np.ndarray, ids: np.ndarray):
@@ -57,12 +57,23 @@ def _split_groups(keys: np.ndarray, ids: np.ndarray):
     return low, several
 
 
-def _rows(keys, ids, at, run, known) -> pa.RecordBatch:
+def _rows(keys, ids, at, run, known, more=None) -> pa.RecordBatch:
+    more = pa.nulls(len(keys), _ROWS.field("more").type) if more is None else more
     return pa.RecordBatch.from_arrays(
-        [pa.array(keys.view(np.int64)), pa.array(ids), pa.array(at), pa.array(run.astype(np.int32)), pa.array(known)], schema=_ROWS
+        [pa.array(keys.view(np.int64)), pa.array(ids), pa.array(at), pa.array(run.astype(np.int32)), pa.array(known), more], schema=_ROWS
     )
 
 
+def _asked(ask: np.ndarray, keys: np.ndarray, doc: np.ndarray, local: np.ndarray):
+    """Of the asking rows, one for each key and document, and where else in it the key stands (null if nowhere)."""
+    ask = ask[np.lexsort((local[ask], doc[ask], keys[ask]))]
+    new = np.append(True, (np.diff(doc[ask]) != 0) | (keys[ask][1:] != keys[ask][:-1]))
+    heads = np.flatnonzero(new)
+    others = np.diff(np.append(heads, len(ask))) - 1
+    more = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(others))).astype(np.int32)), pa.array(local[ask[~new]].astype(np.int32)), mask=pa.array(others == 0))
+    return ask[heads], more
+
+
 def _words(block: pa.RecordBatch):
     data, off = text_buffers(block.column("text"))
     starts, ends, first = word_spans(data, off)
@@ -91,8 +102,8 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
             where = (tag << 32) | local[at]
             known = several & ~low
             # one row for each anchor and block asks the other blocks; the rest are hits already
-            ask = np.flatnonzero(low)
-            yield _rows(keys[ask], ids[ask], where[ask], np.ones(len(ask)), several[ask])
+            ask, more = _asked(np.flatnonzero(low), keys, doc[at], local[at])
+            yield _rows(keys[ask], ids[ask], where[ask], np.ones(len(ask)), several[ask], more)
             told = np.flatnonzero(known)
             if len(told):
                 yield _rows(mix(ids[told].astype(np.uint64) + np.uint64(977)), ids[told], where[told], np.ones(len(told)), np.ones(len(told), bool))
@@ -125,8 +136,8 @@ def _windows(window: int, period: int):
             keys = run_hashes(hashes, at, window)
             low, _ = _split_groups(keys, ids)
             where = (tag << 32) | local[at]
-            ask = np.flatnonzero(low)
-            yield _rows(keys[ask], ids[ask], where[ask], np.ones(len(ask)), np.zeros(len(ask), bool))
+            ask, more = _asked(np.flatnonzero(low), keys, doc[at], local[at])
+            yield _rows(keys[ask], ids[ask], where[ask], np.ones(len(ask)), np.zeros(len(ask), bool), more)
             told = np.flatnonzero(~low)
             if len(told):  # removed already, by a smaller doc_id of this block: as runs of window starts
                 new = np.append(True, (np.diff(at[told]) != 1) | (np.diff(doc[at[told]]) != 0))
@@ -183,12 +194,15 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     shared = anchors.withColumn("lo", F.min("doc_id").over(same)).withColumn("hi", F.max("doc_id").over(same)).filter("known or lo < hi")
     place = [F.col("doc_id"), F.shiftrightunsigned("at", 32).alias("tag")]
     start = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
-    hits = shared.groupBy(*place).agg(F.collect_list(start).alias("hits"))
+    hits = shared.groupBy(*place).agg(F.collect_list(start).alias("hits"), F.flatten(F.collect_list("more")).alias("more"))
+    hits = hits.select("doc_id", "tag", F.concat("hits", "more").alias("hits"))
 
     near = known_ids.join(hits.hint("shuffle_hash"), ["doc_id", "tag"])
     windows = near.select("doc_id", "tag", "text", "hits").mapInArrow(_windows(window, period), _ROWS_SQL).repartition(n, "key")
     removed = windows.withColumn("lo", F.min("doc_id").over(same)).filter("known or lo < doc_id")
-    runs = removed.groupBy(*place).agg(F.collect_list(F.struct(start.alias("start"), "run")).alias("runs"))
+    single = F.transform(F.flatten(F.collect_list("more")), lambda x: F.struct(x.alias("start"), F.lit(1).alias("run")))
+    runs = removed.groupBy(*place).agg(F.collect_list(F.struct(start.alias("start"), "run")).alias("runs"), single.alias("more"))
+    runs = runs.select("doc_id", "tag", F.concat("runs", "more").alias("runs"))
 
     # a repeated row collects its runs twice, which removes no more
     with_runs = known_ids.join(runs.hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "text", "runs")
