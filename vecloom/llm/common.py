@@ -43,7 +43,7 @@ def shared_folder(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
-            if not context.master.startswith("local["):
+            if context.master != "local" and not context.master.startswith("local["):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = os.path.join(tempfile.gettempdir(), "vecloom-checkpoints")
         context.setCheckpointDir(folder)
@@ -165,5 +165,5 @@ def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
     def keyed(df: DataFrame, tag: Column) -> DataFrame:
         return df.withColumns({"__no_id": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__tag": tag})
 
-    right = keyed(kept, F.col("tag")).select(*keys)
+    right = keyed(kept, F.col("tag")).select(*keys).hint("merge")
     return keyed(docs, text_tag()).join(right, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
