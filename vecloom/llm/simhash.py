@@ -15,7 +15,8 @@ exactly if some value is at most one bit from both. So each candidate stands at
 itself and at its one-bit neighbours in free positions; all that meet at a value
 link to the smallest of them. Rows grow with fingerprints, not with pairs.
 
-Equal fingerprints are one node from the start, so copies cost one row.
+Joins carry merge hints: their smaller sides grow with the documents, so none may
+become a broadcast. Equal fingerprints are one node from the start, so copies cost one row.
 
 Defined results: a null, empty or white-space text has fingerprint zero and links
 like any other; a null doc_id is the largest and gets its component's smallest
@@ -103,12 +104,12 @@ def links(nodes: DataFrame) -> DataFrame:
     banded = nodes.select("fp", tables.alias("t")).select("fp", "t.band", "t.key")
     shared = banded.groupBy("band", "key").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("band", "key")
     free_of = F.element_at(F.array(*[F.lit(~m) for m in masks]), F.col("band") + 1)
-    candidates = banded.join(shared, ["band", "key"]).groupBy("fp").agg(F.bit_or(free_of).alias("free"))
+    candidates = banded.join(shared.hint("merge"), ["band", "key"]).groupBy("fp").agg(F.bit_or(free_of).alias("free"))
     flips = F.filter(F.array(*[F.lit(_signed(i)) for i in range(BITS)]), lambda b: F.col("free").bitwiseAND(b) != 0)
     met = candidates.select("fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), flips)).alias("flip"))
     met = met.select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at"))
     lowest = met.groupBy("at").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).filter("lo < hi").select("at", "lo")
-    return met.join(lowest, "at").filter("fp <> lo").select(F.col("fp").alias("a"), F.col("lo").alias("b")).distinct()
+    return met.join(lowest.hint("merge"), "at").filter("fp <> lo").select(F.col("fp").alias("a"), F.col("lo").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> DataFrame:
@@ -128,8 +129,8 @@ def _labelled(docs: DataFrame, shingle: int, seed: int) -> tuple[DataFrame, str]
     prints = cut_lineage(fingerprints(docs, shingle, seed))
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     found = connected_components(links(nodes.select("fp")))
-    member = nodes.join(found, nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
+    member = nodes.join(found.hint("merge"), nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     member = cut_lineage(member)
     least = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = member.join(least, "component").select("fp", "component", "component_id")
-    return prints.join(labels, "fp"), "component"
+    labels = member.join(least.hint("merge"), "component").select("fp", "component", "component_id")
+    return prints.join(labels.hint("merge"), "fp"), "component"
