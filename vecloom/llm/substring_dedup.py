@@ -71,7 +71,8 @@ def _asked(ask: np.ndarray, keys: np.ndarray, doc: np.ndarray, local: np.ndarray
     heads = np.flatnonzero(new)
     others = np.diff(np.append(heads, len(ask))) - 1
     more = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(others))).astype(np.int32)), pa.array(local[ask[~new]].astype(np.int32)), mask=pa.array(others == 0))
-    return ask[heads], more
+    order = np.argsort(ask[heads])  # back in text order: neighbouring rows of a document compress well
+    return ask[heads][order], more.take(pa.array(order))
 
 
 def _words(block: pa.RecordBatch):
