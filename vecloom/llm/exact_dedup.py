@@ -128,8 +128,11 @@ def decide(docs: DataFrame) -> DataFrame:
     info = cut_lineage(described.withColumn("row", F.monotonically_increasing_id()))
     key = ["fp", "n_bytes"]
     groups = info.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"))
-    differ = differing_groups(rows, groups).withColumn("differ", F.lit(True))
-    split = info.join(differ, key, "left").withColumn("part", F.when(F.col("differ"), F.col("text_sha256")).otherwise("")).drop("differ")
+    # compared once; where no texts differ under one fingerprint, as nearly always, nothing is left to join
+    differ = cut_lineage(differing_groups(rows, groups).withColumn("differ", F.lit(True)))
+    split = info.withColumn("part", F.lit(""))
+    if not differ.isEmpty():
+        split = info.join(differ, key, "left").withColumn("part", F.when(F.col("differ"), F.col("text_sha256")).otherwise("")).drop("differ")
     key = [*key, "part"]
     stays = split.groupBy(*key).agg(F.count(F.lit(1)).alias("group_size"), F.max(F.struct("doc_id", "row")).alias("stays"))
     return split.join(stays, key).select(
