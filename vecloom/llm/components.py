@@ -2,8 +2,8 @@
 
 Each round hangs the larger neighbours of every node on its smallest neighbour
 (large star), then the smaller ones likewise (small star). Both are joins with
-combinable minimum aggregates, so a hub with very many neighbours is split like
-any skewed join key, and rounds grow with the logarithm of a chain's length.
+combinable minimum aggregates. Rounds grow with the logarithm of a chain's length.
+A hub's edges (two numbers each) meet in one task of the join.
 """
 
 from __future__ import annotations
