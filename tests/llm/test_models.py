@@ -170,6 +170,25 @@ def test_learned_formats_find_fresh_credentials_only():
     assert all(len(g.steps) < 40 for g in grammars.values())
 
 
+def test_learned_formats_are_found_within_runs():
+    grammars = S.automata(tuple(S.labelled_credentials()))
+    fresh = S.labelled_credentials(20, seed=123)
+    forms = ("AWS_KEY_ID={}", "see https://host/a/b?key={}&x=1", "https://host/{}/more", "It was {}.", "my-{}", "a.{}=", "x{}", "{0}/{0}", "({})")
+    for form in forms:
+        hits = []
+        for kind, t in fresh:
+            text = form.format(t)
+            want = [(m.start(), m.end(), kind) for m in re.finditer(re.escape(t), text)]
+            hits.append(S.scan(text, grammars) == ([], want) or bool(S.base_spans(text)))
+        assert np.mean(hits) > 0.95, form
+    assert S.scan("ghp_abcdefghijklmnopqrstuvwxyzABCDEFGHIJ", grammars)[1] == [(0, 40, "code_host_token")]
+    assert S.scan("ASIA" + "QWERTYUIOPASDFGH", grammars)[1] == [(0, 20, "access_id")]  # letters only
+    hexes = "0123456789abcdef" * 2
+    assert S.scan(f"{hexes}/ASIA{'Z9' * 8}", grammars)[1] == [(0, 32, "hex"), (33, 53, "access_id")]
+    text = "STRIPE_KEY=sk_live_" + "aZ3" * 8 + "."
+    assert S.redact(text, S.scan(text, grammars)[1]) == "STRIPE_KEY=[payment_key]."
+
+
 def test_secret_rows_of_edge_cases(spark, edge, none, texts):
     got = Counter(tuple(r) for r in S.find_secrets(edge).collect())
     grammars = S.automata(tuple(S.labelled_credentials()))

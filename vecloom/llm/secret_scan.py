@@ -3,10 +3,13 @@
 The base patterns (assign, access, hex) always count. Beside them, for each kind
 of labelled credential a prefix tree of the examples is folded into a small
 probabilistic automaton: states whose ending and next-character frequencies agree
-within a Hoeffding bound, and whose successors do too, are merged. Every candidate
-token of a text that no base span touches is scored by each automaton; it becomes
-a span of the likeliest kind if its likelihood a character beats that of evenly
-drawn characters by MARGIN and its length is one that the examples had.
+within a Hoeffding bound, and whose successors do too, are merged. Each automaton
+runs from every possible start within a candidate token: its first character, those
+after one that is no letter or digit, and wherever the examples' common opening
+stands. A part that no base span touches becomes a span of the likeliest kind if its
+likelihood a character beats that of evenly drawn characters by MARGIN and its
+length is one that the examples had. Of several lengths those that end before no
+letter or digit come first, then the longest; of overlapping parts the first stays.
 
 Automata are trained on the driver from the labelled table (a parameter) and have
 a few dozen states, whatever the corpus.
@@ -20,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import os.path
 import random
 import re
 from collections.abc import Iterable
@@ -36,6 +40,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 #: What a candidate looks like; access and hex matches that count lie within one.
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.=-]{16,}")
+_BREAK = re.compile(r"[+/_.=-]")
 _WORDS = ("passw", "secret", "token", "api")
 _SYMBOLS = 67  # characters that a token can hold
 
@@ -76,6 +81,7 @@ class Automaton:
     def __init__(self, examples: Iterable[str], alpha: float = ALPHA):
         examples = list(examples)
         self.sizes = (min(map(len, examples)), max(map(len, examples)))
+        self.opening = os.path.commonprefix(examples)
         self._bound = math.sqrt(0.5 * math.log(2 / alpha))
         root = _State()
         for text in examples:
@@ -145,6 +151,24 @@ class Automaton:
             total += p
         return (total + self.final[state]) / len(text) + math.log(_SYMBOLS)
 
+    def fit(self, text: str, margin: float) -> tuple[float, int] | None:
+        """Score and length of the part from the text's first character that fits best; None if none does."""
+        state, total, found = 0, 0.0, None
+        for n, c in enumerate(text[: self.sizes[1]], 1):
+            step = self.steps[state].get(c)
+            if step is None:
+                if self.usual[state] is None:
+                    break
+                step = self.usual[state][1:]
+            state, p = step
+            total += p
+            if n >= self.sizes[0]:
+                score = (total + self.final[state]) / n + math.log(_SYMBOLS)
+                whole = not text[n : n + 1].isalnum()
+                if score >= margin and (found is None or (whole, n) > found[:2]):
+                    found = (whole, n, score)
+        return found and (found[2], found[1])
+
 
 @lru_cache(maxsize=4)
 def automata(labelled: tuple[tuple[str, str], ...]) -> dict[str, Automaton]:
@@ -165,15 +189,27 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def learned_spans(text: str, base: list[tuple[int, int, str]], grammars: dict[str, Automaton], margin: float = MARGIN) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of the candidates that fit a learned format and touch no base span."""
-    found = []
+    """(start, end, kind) of the parts of candidates that fit a learned format and touch no base span."""
+    found, most = [], max((g.sizes[1] for g in grammars.values()), default=0)
     for token in _TOKEN.finditer(text):
-        a, b = token.span()
-        if token[0].isalpha() or any(s < b and a < e for s, e, _ in base):
-            continue
-        score, kind = max((g.score(token[0]), k) for k, g in grammars.items()) if grammars else (-math.inf, "")
-        if score >= margin:
-            found.append((a, b, kind))
+        part, at = token[0], token.start()
+        starts = {0} | {m.end() for m in _BREAK.finditer(part)}
+        for opening in {g.opening for g in grammars.values()} - {""}:
+            i = part.find(opening)
+            while i >= 0:
+                starts.add(i)
+                i = part.find(opening, i + 1)
+        done = 0
+        for i in sorted(starts):
+            if i < done:
+                continue
+            rest = part[i : i + most + 1]
+            fits = [(*fit, k) for k, g in grammars.items() if (fit := g.fit(rest, margin))]
+            fits = [(score, k, n) for score, n, k in fits if not any(s < at + i + n and at + i < e for s, e, _ in base)]
+            if fits:
+                _, kind, n = max(fits)
+                found.append((at + i, at + i + n, kind))
+                done = i + n
     return found
 
 
