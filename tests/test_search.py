@@ -188,3 +188,24 @@ def test_index_range_search(spark, data):
     q = S.query_frame(spark, x[:5])
     assert sorted(index.range_search(q, 14.0).collect()) == sorted(S.range_search(df, q, 14.0).collect())
     assert index.range_search(q, -1.0).count() == 0
+
+
+@pytest.mark.parametrize("kind, metric", [("ivf_pq", "cosine"), ("hnsw_pq", "l2")])
+def test_product_codes_only_choose_candidates(spark, kind, metric):
+    """Recall at the registered queries' parameters, fewer lists probed than there are."""
+    df = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(gaussian(1000, 64, 9))], "vid long, vec array<float>").repartition(3).cache()
+    q = df.filter("vid % 20 = 0").select(F.col("vid").alias("query_id"), F.col("vec").alias("qvec"))
+    config = IndexConfig(type=kind, nlist=16, nprobe=8, nsub=8, nbits=6, m=16, ef_construction=100, ef_search=100)
+    exact = S.knn(df, q, 10, metric)
+    if kind == "hnsw_pq":
+        found = HnswIndex.build(df, config, metric).search(q, 10)
+        assert S.recall(found, exact) >= 0.9
+    else:  # all that the probed lists hold
+        index = IvfIndex.train(df, config, metric).add(df)
+        found = index.search(q, 10)
+        raw = IvfIndex(index.centroids, metric, IndexConfig(type="ivf", nlist=16, nprobe=8)).add(df)
+        assert S.recall(found, raw.search(q, 10)) >= 0.9
+        assert S.recall(index.search(q, 10, nprobe=16), exact) >= 0.9
+        assert S.recall(index.range_search(q, 0.7), raw.range_search(q, 0.7)) == 1
+    want = {(r["query_id"], r["vid"]): r["distance"] for r in S.knn(df, q, 1000, metric).collect()}
+    assert all(r["distance"] == want[r["query_id"], r["vid"]] for r in found.collect())

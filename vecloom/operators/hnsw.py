@@ -128,18 +128,19 @@ class HnswIndex:
             quantizer = ProductQuantizer.train(sample, config.nsub, config.nbits, metric)
         shards = max(config.shards, math.ceil(rows.count() / SHARD_ROWS))
         dim, m, ef = sample.shape[1], config.m, config.ef_construction
+        whole = isinstance(quantizer, ProductQuantizer)  # product codes are too coarse to link and rank by
 
         def build(key, table):
             table = table.sort_by("vid")
             at, x = S.matrix(table.column("vec"), dim)
             vid, level = table.column("vid").to_numpy()[at], table.column("level").to_numpy()[at]
             codes = None if quantizer is None else quantizer.encode(x)
-            g = Graph(x if quantizer is None else quantizer.decode(codes), metric, m)
+            g = Graph(x if quantizer is None or whole else quantizer.decode(codes), metric, m)
             for i in range(len(at)):
                 g.insert(i, int(level[i]), ef)
             out = {
                 "shard": pa.array(np.full(len(at), key[0].as_py(), np.int32)), "vid": pa.array(vid), "level": pa.array(level.astype(np.int32)),
-                "vec": table.column("vec").combine_chunks().take(pa.array(at)) if quantizer is None else pa.nulls(len(at), pa.list_(pa.float32())),
+                "vec": table.column("vec").combine_chunks().take(pa.array(at)) if quantizer is None or whole else pa.nulls(len(at), pa.list_(pa.float32())),
                 "code": pa.nulls(len(at), pa.binary()) if quantizer is None else pa.array([c.tobytes() for c in codes], pa.binary()),
                 "neighbors": pa.array([[[int(vid[j]) for j in e] for e in edges] for edges in g.edges], pa.list_(pa.list_(pa.int64()))),
             }
@@ -173,11 +174,17 @@ class HnswIndex:
             levels = shard.column("level").to_numpy()
             g.top = int(levels.max())
             g.entry = int(np.flatnonzero(levels == g.top)[0])
+            exact, wide = x, k
+            if isinstance(quantizer, ProductQuantizer) and shard.column("vec").null_count == 0:  # graphs of before have none
+                exact, wide = S.matrix(shard.column("vec"), dim)[1], max(S.WIDE, S.WIDER * k) if k > 0 else k
             ids, near = [], []
             for query, vec in zip(qid, q.astype(np.float64), strict=True):
-                rows = [i for _, i in g.search(vec, k, ef)]
+                rows = [i for _, i in g.search(vec, wide, ef)]
+                if wide > k:
+                    rows = np.array(rows, np.int64)
+                    rows = rows[S._best(S.distances(metric, vec[None], exact[rows])[0], vid[rows], k)]
                 ids.append((np.full(len(rows), query), vid[rows]))
-                near.append(S.distances(metric, vec[None], x[rows])[0])
+                near.append(S.distances(metric, vec[None], exact[rows])[0])
             return pa.table({"query_id": pa.array(np.concatenate([a for a, _ in ids] or [np.zeros(0, np.int64)])), "vid": pa.array(np.concatenate([b for _, b in ids] or [np.zeros(0, np.int64)])), "distance": pa.array(np.concatenate(near or [np.zeros(0)]))})
 
         rows = self.graph if where is None else self.graph.filter(to_column(where, self.graph.schema))

@@ -3,7 +3,8 @@
 The index is a table of postings (list_id, vid, vec or code) to be written
 partitioned by list_id, and a few centroids. Every row is indexed. A search finds
 each query's nearest lists, prunes the postings to the union of those lists, and
-scores every row only against the queries that probe its list, in one scan.
+scores every row only against the queries that probe its list, in one scan. Product
+codes only choose a wide list of candidates, which the vectors beside them rank.
 """
 
 from __future__ import annotations
@@ -43,9 +44,9 @@ class IvfIndex:
         return cls(np.asarray(centroids, np.float64), str(getattr(metric, "value", metric)), config, quantizer)
 
     def assign(self, rows: DataFrame) -> DataFrame:
-        """list_id, vid and vec (or code) of every row."""
+        """list_id, vid and vec (or code; both for product codes) of every row."""
         centroids, metric, quantizer = self.centroids, self.metric, self.quantizer
-        kind = "vec array<float>" if quantizer is None else "code binary"
+        kind = "vec array<float>" if quantizer is None else "code binary, vec array<float>" if isinstance(quantizer, ProductQuantizer) else "code binary"
 
         def run(batches):
             for batch in batches:
@@ -58,7 +59,8 @@ class IvfIndex:
                     yield pa.RecordBatch.from_arrays([lists, vid, batch.column("vec").take(pa.array(at))], names=["list_id", "vid", "vec"])
                 else:
                     codes = [c.tobytes() for c in quantizer.encode(x)]
-                    yield pa.RecordBatch.from_arrays([lists, vid, pa.array(codes, pa.binary())], names=["list_id", "vid", "code"])
+                    more = {"vec": batch.column("vec").take(pa.array(at))} if isinstance(quantizer, ProductQuantizer) else {}
+                    yield pa.RecordBatch.from_arrays([lists, vid, pa.array(codes, pa.binary()), *more.values()], names=["list_id", "vid", "code", *more])
 
         return rows.select("vid", "vec").filter("vid is not null and vec is not null").mapInArrow(run, f"list_id int, vid long, {kind}")
 
@@ -102,9 +104,20 @@ class IvfIndex:
                 else:
                     ok = np.arange(len(vid))
                     x = quantizer.decode(np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(vid), -1)) if len(vid) else np.zeros((0, dim))
+                exact = None
+                if isinstance(quantizer, ProductQuantizer) and "vec" in batch.schema.names:  # not in postings of before
+                    exact = S.matrix(batch.column("vec"), dim)[1]
                 for c in np.unique(lists[ok]):
                     rows = np.flatnonzero(lists[ok] == c)
                     own = by_list[int(c)]
+                    if exact is not None and radius is not None:
+                        yield S._emit(*S._score_block(metric, qid[own], q[own], vid[rows], exact[rows], k, radius))
+                        continue
+                    if exact is not None:
+                        for i in own:
+                            near = rows[S._best(S.distances(metric, q[i : i + 1], x[rows])[0], vid[rows], max(S.WIDE, S.WIDER * k))]
+                            yield S._emit(*S._score_block(metric, qid[i : i + 1], q[i : i + 1], vid[near], exact[near], k, None))
+                        continue
                     yield S._emit(*S._score_block(metric, qid[own], q[own], vid[ok][rows], x[rows], k, radius))
 
         return postings.mapInArrow(run, S._FOUND)

@@ -31,6 +31,8 @@ from vecloom.operators.filters import Filter, matching
 #: Bytes of packed queries that may be sent with the tasks, and query rows of a tile beyond that.
 QUERY_BYTES = 32 << 20
 TILE_ROWS = 4096
+#: Candidates by product codes that are ranked again by their vectors: at least WIDE, and WIDER for each result.
+WIDE, WIDER = 600, 60
 #: Scores held at once in a block of numpy work.
 BLOCK_SCORES = 1 << 20
 
