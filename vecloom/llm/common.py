@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,31 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, old: DataFrame | None = None) -> DataFrame:
+    """df written as a table to the shared folder and read again; `old`, a table of before, is deleted then."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/vecloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if old is not None:
+        drop_stored(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.vecloom_path = path
+    return out
+
+
+def drop_stored(df: DataFrame) -> None:
+    """Deletes a table written by `stored`."""
+    path = df.__dict__.get("vecloom_path")
+    if path is not None:
+        remove_folder(df.sparkSession, path)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Deletes a folder on whatever file system Spark writes to."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def shuffle_width(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
@@ -158,12 +184,69 @@ def text_tag() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id and text tag stand in kept (doc_id, tag); of rows that repeat both, one."""
+#: Parts that a group's rows are dealt to on their way to what the whole group knows.
+PARTS = 64
+
+
+def with_group(rows: DataFrame, keys: list[str], parts: dict[str, Column], whole: dict[str, Column], by: str) -> DataFrame:
+    """rows with aggregates of their group: `parts` over each part (dealt by the column `by`), `whole` over these.
+
+    A group's result is copied to the parts that it has, so no task gets all rows of a hot group.
+    """
+    dealt = rows.withColumn("__part", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
+    some = dealt.groupBy(*keys, "__part").agg(*[c.alias(n) for n, c in parts.items()])
+    all_ = some.groupBy(*keys).agg(*[c.alias(n) for n, c in whole.items()], F.collect_list("__part").alias("__parts"))
+    all_ = all_.select(*keys, *whole, F.explode("__parts").alias("__part"))
+    return dealt.join(all_.hint("merge"), [*keys, "__part"]).drop("__part")
+
+
+#: Words of 64 bits of a bit table, as a power of two.
+TABLE = 18
+
+
+def bit_table(keys: DataFrame) -> np.ndarray:
+    """A fixed table of 2 ** (TABLE + 6) bits with one set for each key (the only column, a well mixed 64-bit hash).
+
+    Combined in the executors; at most 2 ** TABLE words reach the driver, whatever the
+    number of keys. A key that is not in keys may find its bit set.
+    """
+    key = F.col(keys.columns[0])
+    word = F.shiftrightunsigned(key, 64 - TABLE).cast("int").alias("word")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftrightunsigned(key, 58 - TABLE).bitwiseAND(F.lit(63)).cast("int")).alias("bit")
+    found = keys.select(word, bit).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    table = np.zeros(1 << TABLE, np.int64)
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy()
+    return table.view(np.uint64)
+
+
+def in_table(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which keys (64 bits each) find their bit set."""
+    keys = keys.view(np.uint64)
+    return (table[keys >> np.uint64(64 - TABLE)] >> ((keys >> np.uint64(58 - TABLE)) & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def sieved(batches, column: str, table: np.ndarray, inside: bool = True):
+    """The batches' rows whose key (long) finds its bit set, or the others."""
+    for batch in batches:
+        yield batch.filter(pa.array(in_table(table, batch.column(column).to_numpy(zero_copy_only=False)) == inside))
+
+
+def sieve(df: DataFrame, column: str, table: np.ndarray, inside: bool = True) -> DataFrame:
+    """`sieved` rows of a table; nothing is shuffled."""
+    return df.mapInArrow(lambda batches: sieved(batches, column, table, inside), df.schema)
+
+
+def keep_rows(docs: DataFrame, kept: DataFrame, doubtful: DataFrame) -> DataFrame:
+    """Of the rows of docs whose text tag is doubtful (one column), those whose doc_id and text tag stand in
+    kept (doc_id, tag), one of each that repeats both; and all other rows, which are not shuffled."""
     keys = ["__no_id", "__id", "__tag"]
+    table = bit_table(doubtful)
 
     def keyed(df: DataFrame, tag: Column) -> DataFrame:
         return df.withColumns({"__no_id": F.col("doc_id").isNull(), "__id": F.coalesce(F.col("doc_id").cast("long"), F.lit(0)), "__tag": tag})
 
+    tagged = docs.withColumn("__tag", text_tag())
     right = keyed(kept, F.col("tag")).select(*keys).hint("merge")
-    return keyed(docs, text_tag()).join(right, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    some = keyed(sieve(tagged, "__tag", table), F.col("__tag"))
+    staying = some.join(right, keys, "left_semi").dropDuplicates(keys).select(*docs.columns)
+    return sieve(tagged, "__tag", table, inside=False).select(*docs.columns).unionByName(staying)
