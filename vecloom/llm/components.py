@@ -3,7 +3,10 @@
 Each round hangs the larger neighbours of every node on its smallest neighbour
 (large star), then the smaller ones likewise (small star). Both are joins with
 combinable minimum aggregates. Rounds grow with the logarithm of a chain's length.
-A hub's edges (two numbers each) meet in one task of the join.
+A node's edges are dealt to SALTS parts by the other end. Each part takes the minimum
+of its own edges first, the node's minimum goes back to the parts that it has, and
+only these meet the edges: no task gets all edges of a hub, and what is copied for
+the parts is never more than the edges. A round's tables are deleted after the next.
 """
 
 from __future__ import annotations
@@ -11,7 +14,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import cut_lineage
+from vecloom.llm.common import drop_stored, stored
+
+#: Parts that the edges of one node are dealt to.
+SALTS = 64
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,8 +25,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:  # from each node to its smaller neighbours
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = near.groupBy("a").agg(F.min("b").alias("low")).withColumn("low", F.least("a", "low"))
-    hung = near.join(low.hint("merge"), "a")
+    near = near.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+    parts = near.groupBy("a", "part").agg(F.min("b").alias("low"))
+    low = parts.groupBy("a").agg(F.min("low").alias("low"), F.collect_list("part").alias("parts"))
+    low = low.withColumn("low", F.least("a", "low"))
+    hung = near.join(low.select("a", "low", F.explode("parts").alias("part")).hint("merge"), ["a", "part"])
     if large:
         return hung.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
     return hung.select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b"))).filter("a <> b").distinct()
@@ -28,12 +37,13 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """edges (a, b), long: node, component (its smallest reachable node); only nodes with edges to others."""
-    edges = cut_lineage(edges.filter("a <> b").select("a", "b").distinct())
+    edges = stored(edges.filter("a <> b").select("a", "b").distinct())
     before = None
     for _ in range(rounds):
-        edges = cut_lineage(_star(_star(edges, large=True), large=False))
+        edges = stored(_star(_star(edges, large=True), large=False), edges)
         now = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
         if now == before:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
         before = now
+    drop_stored(edges)
     raise RuntimeError("components did not settle")

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import blocks, cut_lineage, ids_and_texts, keep_rows, text_buffers, text_tag
+from vecloom.llm.common import PARTS, blocks, ids_and_texts, keep_rows, stored, text_buffers, text_tag, with_group
 from vecloom.llm.components import connected_components
 
 BITS = 64
@@ -122,15 +122,19 @@ def drop_near_copies(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED)
     """docs with one row of each component: that of the smallest doc_id (a null one is the largest)."""
     labelled, component = _labelled(docs, shingle, seed)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "tag"))
-    return keep_rows(docs, labelled.groupBy(component).agg(first.alias("first")).select("first.doc_id", "first.tag"))
+    several = labelled.groupBy(component).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(component)
+    doubtful = labelled.join(several.hint("merge"), component, "left_semi").select("tag").distinct()
+    return keep_rows(docs, labelled.groupBy(component).agg(first.alias("first")).select("first.doc_id", "first.tag"), doubtful)
 
 
 def _labelled(docs: DataFrame, shingle: int, seed: int) -> tuple[DataFrame, str]:
-    prints = cut_lineage(fingerprints(docs, shingle, seed))
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    prints = stored(fingerprints(docs, shingle, seed))
+    dealt = prints.withColumn("part", F.pmod(F.xxhash64("doc_id", "tag"), F.lit(PARTS)).cast("int"))
+    nodes = dealt.groupBy("fp", "part").agg(F.min("doc_id").alias("least"))
+    nodes = nodes.groupBy("fp").agg(F.min("least").alias("least"), F.collect_list("part").alias("parts"))
     found = connected_components(links(nodes.select("fp")))
-    member = nodes.join(found.hint("merge"), nodes["fp"] == found["node"], "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    member = cut_lineage(member)
-    least = member.groupBy("component").agg(F.min("least").alias("component_id"))
-    labels = member.join(least.hint("merge"), "component").select("fp", "component", "component_id")
-    return prints.join(labels.hint("merge"), "fp"), "component"
+    member = nodes.join(found.hint("merge"), nodes["fp"] == found["node"], "left").select("fp", "least", "parts", F.coalesce("component", "fp").alias("component"))
+    # a component's smallest doc_id goes back to its fingerprints, and from there to each one's parts
+    labels = with_group(stored(member), ["component"], {"low": F.min("least")}, {"component_id": F.min("low")}, "fp")
+    labels = labels.select("fp", "component", "component_id", F.explode("parts").alias("part"))
+    return dealt.join(labels.hint("merge"), ["fp", "part"]).drop("part"), "component"
