@@ -63,6 +63,31 @@ def test_substring_passages_at_every_alignment(spark):
     assert counted(S.substring_dedup(df, digest=True)) == brute_substring(texts)
 
 
+def thue_morse(n):
+    """A word of 2 ** n letters and its complement: equal under any polynomial hash modulo 2 ** 64 from n = 10 on."""
+    word = "a"
+    for _ in range(n):
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_substring_words_that_collide(spark):
+    shared = " ".join(f"s{k}" for k in range(49))
+    x, y = thue_morse(10)
+    texts = [(1, f"{shared} {x}"), (2, f"{shared} {y}"), (3, f"{shared} {x}")]
+    df = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    got = counted(S.substring_dedup(df, digest=True))
+    assert got == brute_substring(texts) and sorted(r[2] for r in got) == [0, 0, 50]
+
+
+def test_substring_under_a_hash_of_eight_bits(spark, edge, texts, monkeypatch):
+    def weak(codes, at, length, strong=S.run_hashes):
+        return strong(codes, at, length) & np.uint64(255)
+
+    monkeypatch.setattr(S, "run_hashes", weak)
+    assert counted(S.substring_dedup(edge, digest=True)) == brute_substring(texts)
+
+
 def test_substring_needs_a_short_period(edge):
     with pytest.raises(ValueError):
         S.substring_dedup(edge, window=30)
@@ -93,6 +118,24 @@ def test_exact_keeps_one_row_and_all_columns(edge, texts):
     assert sorted(got) == sorted(best.items())
 
 
+def test_huge_texts_are_hashed_in_windows():
+    rng = np.random.default_rng(3)
+    sizes = [0, 5000, 40_000, 10, 33_000, 16_384, 0]
+    off = np.concatenate(([0], np.cumsum(sizes)))
+    data = rng.integers(0, 256, off[-1], dtype=np.uint8)
+    w = E.chunk_weights()
+    assert np.array_equal(E.fingerprints(data, off, w, window=8192), E.fingerprints(data, off, w, window=1 << 20))
+
+
+def test_only_repeated_texts_are_compared(spark):
+    rows = [(i, "x" * i) for i in range(50)] + [(100, "x" * 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    info = docs.withColumn("tag", E.text_tag()).mapInArrow(E._describe, "doc_id long, tag long, fp long, n_bytes long, text_sha256 string")
+    repeated = info.groupBy("fp", "n_bytes").count().filter("count > 1").collect()
+    assert [r["n_bytes"] for r in repeated] == [7]
+    assert E.differing_groups(docs, info).count() == 0
+
+
 def test_fingerprints_compose():
     rng = random.Random(2)
     data = bytes(rng.randrange(256) for _ in range(5000))

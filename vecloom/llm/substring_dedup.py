@@ -6,17 +6,17 @@ word numbers i and j always hold, at one common distance d below the period,
 positions i + d and j + d that both lie in the difference cover modulo the
 period. So it is enough to hash short anchors at cover positions (6 of 31);
 documents that share no anchor share no window. Around shared anchors the match
-is extended to whole windows, whose own hashes decide.
+is extended to whole windows. Anchors only propose (64-bit hashes); a window's words,
+joined by one space, are compared by 128-bit BLAKE2 digests.
 
 Plan: scan -> anchors (combined within each block, so that a hot passage sends
 one row a block) -> shuffle by anchor -> documents with shared anchors -> window
 hashes around them (combined likewise) -> shuffle by window -> removed runs,
-joined to the texts. Texts are shuffled once.
+joined to the texts. Texts that share an anchor are shuffled once, the others never.
 
 Defined results: a null text has no words; a null doc_id is neither larger nor
 smaller than another, so such rows stay whole; rows that repeat a doc_id never
 remove each other's words; other columns are ignored; no rows give no rows.
-Window and anchor equality is that of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -29,15 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import blocks, ids_and_texts, mix, run_hashes, shuffle_width, text_buffers, word_hashes, word_spans
+from vecloom.llm.common import bit_table, blocks, ids_and_texts, mix, run_hashes, shuffle_width, sieve, sieved, stored, text_buffers, word_hashes, word_spans
 
 WINDOW = 50
 #: A perfect difference set: every residue modulo 31 is a difference of two members.
 PERIOD = 31
 COVER = (1, 5, 11, 24, 25, 27)
 
-_ROWS = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("run", pa.int32()), ("known", pa.bool_()), ("more", pa.list_(pa.int32()))])
-_ROWS_SQL = "key long, doc_id long, at long, run int, known boolean, more array<int>"
+_ROWS = pa.schema([("key", pa.int64()), ("rest", pa.int64()), ("doc_id", pa.int64()), ("at", pa.int64()), ("run", pa.int32()), ("known", pa.bool_()), ("more", pa.list_(pa.int32()))])
+_ROWS_SQL = "key long, rest long, doc_id long, at long, run int, known boolean, more array<int>"
 
 
 def _split_groups(keys: np.ndarray, ids: np.ndarray):
@@ -57,10 +57,11 @@ def _split_groups(keys: np.ndarray, ids: np.ndarray):
     return low, several
 
 
-def _rows(keys, ids, at, run, known, more=None) -> pa.RecordBatch:
+def _rows(keys, ids, at, run, known, more=None, rest=None) -> pa.RecordBatch:
     more = pa.nulls(len(keys), _ROWS.field("more").type) if more is None else more
+    rest = pa.nulls(len(keys), pa.int64()) if rest is None else pa.array(rest)
     return pa.RecordBatch.from_arrays(
-        [pa.array(keys.view(np.int64)), pa.array(ids), pa.array(at), pa.array(run.astype(np.int32)), pa.array(known), more], schema=_ROWS
+        [pa.array(np.ascontiguousarray(keys).view(np.int64)), rest, pa.array(ids), pa.array(at), pa.array(run.astype(np.int32)), pa.array(known), more], schema=_ROWS
     )
 
 
@@ -76,13 +77,35 @@ def _asked(ask: np.ndarray, keys: np.ndarray, doc: np.ndarray, local: np.ndarray
 
 
 def _words(block: pa.RecordBatch):
+    """Hashes of all words, words a row, and each word's row and number in it; the words' bytes and places with them."""
     data, off = text_buffers(block.column("text"))
     starts, ends, first = word_spans(data, off)
     hashes = word_hashes(data, starts, ends) if len(starts) else np.empty(0, np.uint64)
     n = np.diff(first)
     doc = np.repeat(np.arange(len(n)), n)
     local = np.arange(len(starts)) - first[doc]
-    return hashes, n, doc, local
+    return hashes, n, doc, local, (data, off, starts, ends)
+
+
+def _digests(spans, at: np.ndarray, window: int) -> np.ndarray:
+    """128-bit BLAKE2 digests of the windows that start at the words `at`: words joined by one space."""
+    data, off, starts, ends = spans
+    raw = data.tobytes()
+    rows = (b" ".join(raw[a:b].split()) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True))
+    joined = b" ".join(row for row in rows if row)
+    place = np.concatenate(([0], np.cumsum(ends - starts + 1)))
+    digest = hashlib.blake2b
+    parts = [digest(joined[a:b], digest_size=16).digest() for a, b in zip(place[at].tolist(), (place[at + window] - 1).tolist(), strict=True)]
+    return np.frombuffer(b"".join(parts), np.int64).reshape(-1, 2)
+
+
+def _codes(digests: np.ndarray) -> np.ndarray:
+    """Numbers that are equal where the digests are."""
+    order = np.lexsort((digests[:, 1], digests[:, 0]))
+    sorted_ = digests[order]
+    codes = np.empty(len(digests), np.int64)
+    codes[order] = np.cumsum(np.append(False, (sorted_[1:] != sorted_[:-1]).any(axis=1)))
+    return codes
 
 
 def _anchors(window: int, period: int, cover: tuple[int, ...]):
@@ -92,7 +115,7 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
 
     def run(batches):
         for block in blocks(batches):
-            hashes, n, doc, local = _words(block)
+            hashes, n, doc, local, _ = _words(block)
             at = np.flatnonzero(is_cover[local % period] & (n[doc] >= window) & (local + length <= n[doc])) if len(local) else local
             if not len(at):
                 continue
@@ -115,7 +138,7 @@ def _anchors(window: int, period: int, cover: tuple[int, ...]):
 def _windows(window: int, period: int):
     def run(batches):
         for block in blocks(batches):
-            hashes, n, doc, local = _words(block)
+            hashes, n, doc, local, spans = _words(block)
             if not len(hashes):
                 continue
             hits = block.column("hits")
@@ -134,11 +157,12 @@ def _windows(window: int, period: int):
                 continue
             ids = block.column("doc_id").to_numpy(zero_copy_only=False)[doc[at]]
             tag = block.column("tag").to_numpy(zero_copy_only=False)[doc[at]]
-            keys = run_hashes(hashes, at, window)
-            low, _ = _split_groups(keys, ids)
+            digests = _digests(spans, at, window)
+            codes = _codes(digests)
+            low, _ = _split_groups(codes, ids)
             where = (tag << 32) | local[at]
-            ask, more = _asked(np.flatnonzero(low), keys, doc[at], local[at])
-            yield _rows(keys[ask], ids[ask], where[ask], np.ones(len(ask)), np.zeros(len(ask), bool), more)
+            ask, more = _asked(np.flatnonzero(low), codes, doc[at], local[at])
+            yield _rows(digests[ask, 0], ids[ask], where[ask], np.ones(len(ask)), np.zeros(len(ask), bool), more, digests[ask, 1])
             told = np.flatnonzero(~low)
             if len(told):  # removed already, by a smaller doc_id of this block: as runs of window starts
                 new = np.append(True, (np.diff(at[told]) != 1) | (np.diff(doc[at[told]]) != 0))
@@ -154,12 +178,13 @@ _OUT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed",
 _OUT_SQL = "doc_id long, n_words long, n_removed long, kept_text binary, removed_runs array<int>"
 
 
-def _keep(window: int, digest: bool):
+def _keep(window: int, digest: bool, without: np.ndarray | None = None):
     def run(batches):
         schema = pa.schema([*list(_OUT)[:3], ("kept_sha256", pa.string())]) if digest else _OUT
-        for block in blocks(batches):
+        for block in blocks(batches if without is None else sieved(batches, "row_key", without, inside=False)):
             out = []
-            for doc_id, text, runs in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), block.column("runs").to_pylist(), strict=True):
+            every = block.column("runs").to_pylist() if "runs" in block.schema.names else [None] * block.num_rows
+            for doc_id, text, runs in zip(block.column("doc_id").to_pylist(), block.column("text").to_pylist(), every, strict=True):
                 words = (text or "").encode().split()
                 cover, kept = [], words
                 if runs:
@@ -188,25 +213,31 @@ def substring_dedup(docs: DataFrame, window: int = WINDOW, period: int = PERIOD,
     # the tag tells rows that repeat a doc_id apart
     rows = ids_and_texts(docs).withColumn("tag", F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 33))
     known_ids = rows.filter(F.col("doc_id").isNotNull())
-    same = W.partitionBy("key")
     n = shuffle_width(docs)
 
-    anchors = known_ids.mapInArrow(_anchors(window, period, cover), _ROWS_SQL).repartition(n, "key")
+    same = W.partitionBy("key")
+    anchors = known_ids.mapInArrow(_anchors(window, period, cover), _ROWS_SQL).drop("rest").repartition(n, "key")
     shared = anchors.withColumn("lo", F.min("doc_id").over(same)).withColumn("hi", F.max("doc_id").over(same)).filter("known or lo < hi")
     place = [F.col("doc_id"), F.shiftrightunsigned("at", 32).alias("tag")]
     start = F.col("at").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
     hits = shared.groupBy(*place).agg(F.collect_list(start).alias("hits"), F.flatten(F.collect_list("more")).alias("more"))
-    hits = hits.select("doc_id", "tag", F.concat("hits", "more").alias("hits"))
+    hits = stored(hits.select("doc_id", "tag", F.concat("hits", "more").alias("hits")))
 
-    near = known_ids.join(hits.hint("shuffle_hash"), ["doc_id", "tag"])
+    # texts without shared anchors lose nothing and stay where they are
+    row_key = F.xxhash64("doc_id", "tag").alias("row_key")
+    table = bit_table(hits.select(row_key))
+    asking = sieve(known_ids.select("*", row_key), "row_key", table).drop("row_key")
+    near = asking.join(hits.hint("shuffle_hash"), ["doc_id", "tag"])
     windows = near.select("doc_id", "tag", "text", "hits").mapInArrow(_windows(window, period), _ROWS_SQL).repartition(n, "key")
+    same = W.partitionBy("key", "rest")
     removed = windows.withColumn("lo", F.min("doc_id").over(same)).filter("known or lo < doc_id")
     single = F.transform(F.flatten(F.collect_list("more")), lambda x: F.struct(x.alias("start"), F.lit(1).alias("run")))
     runs = removed.groupBy(*place).agg(F.collect_list(F.struct(start.alias("start"), "run")).alias("runs"), single.alias("more"))
     runs = runs.select("doc_id", "tag", F.concat("runs", "more").alias("runs"))
 
     # a repeated row collects its runs twice, which removes no more
-    with_runs = known_ids.join(runs.hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "text", "runs")
-    no_id = rows.filter(F.col("doc_id").isNull()).select("doc_id", "text", F.lit(None).cast("array<struct<start:int,run:int>>").alias("runs"))
     sql = "doc_id long, n_words long, n_removed long, kept_sha256 string" if digest else _OUT_SQL
-    return with_runs.unionByName(no_id).mapInArrow(_keep(window, digest), sql)
+    with_runs = asking.join(runs.hint("shuffle_hash"), ["doc_id", "tag"], "left").select("doc_id", "text", "runs").mapInArrow(_keep(window, digest), sql)
+    whole = known_ids.select("doc_id", "text", row_key).mapInArrow(_keep(window, digest, table), sql)
+    no_id = rows.filter(F.col("doc_id").isNull()).select("doc_id", "text").mapInArrow(_keep(window, digest), sql)
+    return with_runs.unionByName(whole).unionByName(no_id)
