@@ -209,3 +209,28 @@ def test_product_codes_only_choose_candidates(spark, kind, metric):
         assert S.recall(index.range_search(q, 0.7), raw.range_search(q, 0.7)) == 1
     want = {(r["query_id"], r["vid"]): r["distance"] for r in S.knn(df, q, 1000, metric).collect()}
     assert all(r["distance"] == want[r["query_id"], r["vid"]] for r in found.collect())
+
+
+def test_nan_distances_come_last():
+    d, vid = np.array([3.0, np.nan, 1, np.nan, 2] + [np.nan] * 6), np.arange(1, 12)
+    assert S._best(d, vid, 5)[:3].tolist() == [2, 4, 0] and len(S._best(d, vid, 5)) == 5
+
+
+@pytest.mark.parametrize("kind, metric", [("hnsw", "l2"), ("hnsw_pq", "l2"), ("ivf_pq", "cosine"), ("ivf_sq", "l2")])
+def test_recall_on_clustered_rows(spark, kind, metric):
+    """Clusters of different spread, as in the catalogue: the nearest links alone leave nodes unreachable."""
+    x = gaussian(1000, 64, 9) * (1 + np.arange(1000) % 10)[:, None].astype(np.float32)
+    df = spark.createDataFrame([(i + 1, v.tolist()) for i, v in enumerate(x)], "vid long, vec array<float>").repartition(3).cache()
+    q = df.filter("vid % 20 = 0").select(F.col("vid").alias("query_id"), F.col("vec").alias("qvec"))
+    config = IndexConfig(type=kind, nlist=16, nprobe=12, nsub=8, nbits=6, m=16, ef_construction=100, ef_search=200)
+    index = IvfIndex.train(df, config, metric).add(df) if kind.startswith("ivf") else HnswIndex.build(df, config, metric)
+    assert S.recall(index.search(q, 10), S.knn(df, q, 10, metric)) >= 0.9
+
+
+def test_many_queries_go_in_blocks(spark, data, monkeypatch):
+    x, df = data
+    q = S.query_frame(spark, x[:40])
+    index = IvfIndex.train(df, IndexConfig(type="ivf", nlist=8, nprobe=8)).add(df)
+    want = sorted(index.search(q, 3).collect())
+    monkeypatch.setattr(S, "QUERY_BYTES", 4000)
+    assert len(list(S.packed_queries(q, 32))) > 2 and sorted(index.search(q, 3).collect()) == want

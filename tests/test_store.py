@@ -2,12 +2,14 @@
 
 import json
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from vecloom.operators import filters as Q
 from vecloom.plans.config import (
     AlreadyExists,
+    Conflict,
     IndexConfig,
     IndexType,
     InvalidParameter,
@@ -167,3 +169,64 @@ def test_streams(spark, db, tmp_path):
     assert {r["vid"] for r in near.collect()} == {1, 2}
     ts = spark.createDataFrame([("2024-01-01 00:01:00", "x"), ("2024-01-01 00:02:00", "x"), ("2024-01-01 00:07:00", "x")], "t string, by string").withColumn("ts", F.to_timestamp("t"))
     assert sorted(r["n"] for r in ingest.windowed_counts(ts, "ts", "by").collect()) == [1, 2]
+
+
+def test_transactions_see_other_writers(spark, tmp_path):
+    db = open_database(spark, f"{tmp_path}/db")
+    c = db.create_collection("a", 2)
+    c.insert([1.0, 2.0])
+    db.begin()
+    db.create_collection("b", 2).insert([0.0, 0.0])
+    db.rollback()
+    assert db.list_collections() == ["a"] and c.count() == 1
+    db.begin()
+    c.insert([3.0, 4.0])
+    other = open_database(spark, f"{tmp_path}/db")
+    other.collection("a").insert([5.0, 6.0])
+    with pytest.raises(Conflict):
+        db.commit()
+    assert not db.in_transaction() and sorted(map(tuple, (r["vec"] for r in c.iterate()))) == [(1, 2), (5, 6)]
+    other.collection("a").insert([7.0, 8.0])
+    with pytest.raises(Conflict):
+        c.insert([9.0, 9.0])
+    c.refresh()
+    c.insert([9.0, 9.0])
+    assert c.count() == 4
+
+
+def test_read_only_changes_nothing(spark, tmp_path):
+    open_database(spark, f"{tmp_path}/db").create_collection("a", 2).insert([1.0, 2.0])
+    db = open_database(spark, f"{tmp_path}/db", read_only=True)
+    for change in (lambda: db.drop_collection("a"), lambda: db.rename_collection("a", "b"), lambda: db.create_collection("c", 2), lambda: db.collection("a").insert([0.0, 0.0]), db.begin):
+        with pytest.raises(NotSupported):
+            change()
+    assert db.list_collections() == ["a"] and db.collection("a").count() == 1
+    with pytest.raises(NotFound):
+        open_database(spark, f"{tmp_path}/none", read_only=True)
+    assert not (tmp_path / "none").exists()
+
+
+def test_a_manifest_survives_a_stopped_write(spark, tmp_path):
+    db = open_database(spark, f"{tmp_path}/db")
+    db.create_collection("a", 2).insert([1.0, 2.0])
+    (tmp_path / "db/a/manifest.json").rename(tmp_path / "db/a/manifest.json.new")
+    again = open_database(spark, f"{tmp_path}/db")
+    assert again.list_collections() == ["a"] and again.collection("a").count() == 1
+
+
+@pytest.mark.parametrize("kind", ["ivf", "hnsw", "ivf_sq", "hnsw_pq"])
+def test_filtered_search_on_a_stored_index(spark, tmp_path, kind):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 8))
+    db = open_database(spark, f"{tmp_path}/db")
+    c = db.create_collection("a", 8)
+    c.insert_batch(x.tolist(), [{"n": i % 6} for i in range(120)])
+    wheres = (Q.eq("n", 1), Q.ne("n", 1), Q.and_(Q.ge("n", 2), Q.lt("n", 4)))
+    wants = [[(r["vid"], r["rank"]) for r in c.search_batch(x[:5].tolist(), 5, where=w).orderBy("query_id", "rank").collect()] for w in wheres]
+    c.build_index(IndexConfig(type=kind, nlist=4, nprobe=4, nsub=4, nbits=5, ef_construction=100, ef_search=120))
+    c = open_database(spark, f"{tmp_path}/db").collection("a")
+    for where, want in zip(wheres, wants, strict=True):
+        got = [(r["vid"], r["rank"]) for r in c.search_batch(x[:5].tolist(), 5, where=where).orderBy("query_id", "rank").collect()]
+        assert len(got) == 25
+        if kind != "ivf_sq":  # its distances are those of codes
+            assert got == want

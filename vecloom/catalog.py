@@ -1,7 +1,7 @@
 """Queries over the driver tables, one for each operator of the vector engine, with DuckDB SQL beside them.
 
 Vectors are the embeddings scaled by label + 1, so that metrics rank differently;
-vid = vec_id + 1; the queries are the rows with vid <= 20. Metadata comes from
+vid = vec_id + 1; the queries are the rows whose vid is divisible by 20. Metadata comes from
 documents, labels and events by the same number.
 """
 
@@ -48,8 +48,8 @@ def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select((F.col("vec_id") + 1).alias("vid"), vec.alias("vec"), "label")
 
 
-def queries_of(df: DataFrame, n: int = 20) -> DataFrame:
-    return df.filter(F.col("vid") <= n).select(F.col("vid").alias("query_id"), F.col("vec").alias("qvec"))
+def queries_of(df: DataFrame) -> DataFrame:
+    return df.filter(F.col("vid") % 20 == 0).select(F.col("vid").alias("query_id"), F.col("vec").alias("qvec"))
 
 
 def with_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def with_meta(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 V_SQL = "v AS (SELECT vec_id + 1 AS vid, list_transform(embedding, lambda x: CAST(CAST(x AS DOUBLE) * (label + 1) AS FLOAT)) AS vec, label FROM embeddings)"
-Q_SQL = "q AS (SELECT vid AS query_id, vec AS qvec FROM v WHERE vid <= 20)"
+Q_SQL = "q AS (SELECT vid AS query_id, vec AS qvec FROM v WHERE vid % 20 = 0)"
 M_SQL = (
     "m AS (SELECT v.vid, vec, label, lang, source, n_chars, toxic = 1 AS toxic, quality, value, event_type FROM v LEFT JOIN documents d ON d.doc_id + 1 = v.vid "
     "LEFT JOIN labels l ON l.doc_id + 1 = v.vid LEFT JOIN events e ON e.event_id + 1 = v.vid)"
@@ -140,10 +140,10 @@ def knn_include_vectors_meta(spark, sf_dir):
     return S.knn(df, queries_of(df), 10, "cosine", include=("vec", "lang")).withColumn("first", F.get("vec", F.lit(0))).drop("vec")
 
 
-@_query(_ranked("l2", "rank <= 100000", f"SELECT query_id, vid, {_distance('l2')} AS distance FROM q, v", f"WITH {V_SQL}, q AS (SELECT vid AS query_id, vec AS qvec FROM v WHERE vid <= 3)"))
+@_query(_ranked("l2", "rank <= 100000", f"SELECT query_id, vid, {_distance('l2')} AS distance FROM q, v", f"WITH {V_SQL}, q AS (SELECT vid AS query_id, vec AS qvec FROM v WHERE vid % 20 = 0)"))
 def knn_k_gt_n(spark, sf_dir):
     df = rows(spark, sf_dir)
-    return S.knn(df, queries_of(df, 3), 100_000, "l2")
+    return S.knn(df, queries_of(df), 100_000, "l2")
 
 
 # filtered search: name, filter, SQL of the same
@@ -509,7 +509,7 @@ def ivf_remove(spark, sf_dir):
 def _trained(kind: str, metric: str):
     def run(spark, sf_dir):
         df = rows(spark, sf_dir)
-        config = IndexConfig(type=kind, nlist=NLIST, nprobe=8, nsub=NSUB, nbits=6, m=16, ef_construction=100, ef_search=100)
+        config = IndexConfig(type=kind, nlist=NLIST, nprobe=12, nsub=NSUB, nbits=6, m=16, ef_construction=100, ef_search=200)
         index = IvfIndex.train(df, config, metric).add(df) if kind.startswith("ivf") else HnswIndex.build(df, config, metric)
         return index.search(queries_of(df), 10)
 

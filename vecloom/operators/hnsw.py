@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import heapq
 import math
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +19,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vecloom.operators import search as S
-from vecloom.operators.filters import Filter, to_column
+from vecloom.operators.filters import Filter, matching
 from vecloom.operators.kmeans import training_sample
 from vecloom.operators.quantize import ProductQuantizer, ScalarQuantizer
 from vecloom.plans.config import IndexConfig, IndexType, InvalidParameter
 
 #: Rows that a shard should hold; the number of shards follows from the row count.
 SHARD_ROWS = 20_000
+#: Links beyond the limit that a node may gather before its list is cut.
+SLACK = 8
+#: Share of matching rows of a shard below which a filtered search scans them instead of walking.
+FEW = 0.25
 _GRAPH = "shard int, vid long, level int, vec array<float>, code binary, neighbors array<array<long>>"
 
 
@@ -78,6 +83,64 @@ class Graph:
                         heapq.heappop(best)
         return sorted((-d, -i) for d, i in best)
 
+    def spread(self, rows: list[int], near: np.ndarray, most: int) -> list[int]:
+        """Up to `most` of the rows (nearest first): those that are nearer to the node than to any kept one, then the nearest others."""
+        if len(rows) <= most:
+            return rows
+        x = self.x[rows]
+        if self.metric == "l2":
+            own = (x * x).sum(axis=1)
+            between = own[:, None] + own[None, :] - 2 * (x @ x.T)
+        elif self.metric == "ip":
+            between = -(x @ x.T)
+        elif self.metric == "cosine":
+            unit = x / np.maximum(self.norm[rows], 1e-12)[:, None]
+            between = 1 - unit @ unit.T
+        else:
+            between = S.distances(self.metric, x, x)
+        shadowed, kept = np.zeros(len(rows), bool), []
+        for i in range(len(rows)):
+            if not shadowed[i]:
+                kept.append(i)
+                if len(kept) == most:
+                    break
+                shadowed |= between[i] < near
+        others = [i for i in range(len(rows)) if i not in set(kept)][: most - len(kept)]
+        return [rows[i] for i in kept + others]
+
+    def trim(self) -> None:
+        """Cuts the lists that hold more links than the limit."""
+        for i, levels in enumerate(self.edges):
+            for at, theirs in enumerate(levels):
+                most = 2 * self.m if at == 0 else self.m
+                if len(theirs) > most:
+                    d = self.near(self.x[i], theirs)
+                    order = np.argsort(d, kind="stable")
+                    levels[at] = self.spread([theirs[o] for o in order], d[order], most)
+
+    def connect(self) -> None:
+        """Links every node that no walk of the lowest level reaches to the nearest one that is reached."""
+        reached = np.zeros(len(self.edges), bool)
+
+        def walk(i: int) -> None:
+            todo = [i]
+            reached[i] = True
+            while todo:
+                for j in self.edges[todo.pop()][0]:
+                    if not reached[j]:
+                        reached[j] = True
+                        todo.append(j)
+
+        if self.entry >= 0:
+            walk(self.entry)
+        for i in np.flatnonzero(~reached).tolist():
+            if not reached[i]:
+                known = np.flatnonzero(reached)
+                nearest = int(known[np.argmin(self.near(self.x[i], known))])
+                self.edges[nearest][0].append(i)
+                self.edges[i][0].append(nearest)
+                walk(i)
+
     def insert(self, i: int, level: int, ef: int) -> None:
         self.edges.append([[] for _ in range(level + 1)])
         if self.entry < 0:
@@ -90,13 +153,14 @@ class Graph:
         for at in range(min(level, self.top), -1, -1):
             start = self.beam(q, start, ef, at)
             most = 2 * self.m if at == 0 else self.m
-            for _, j in start[: self.m]:
-                self.edges[i][at].append(j)
+            self.edges[i][at] = self.spread([j for _, j in start], np.array([d for d, _ in start]), most)
+            for j in self.edges[i][at]:
                 theirs = self.edges[j][at]
                 theirs.append(i)
-                if len(theirs) > most:
+                if len(theirs) > most + SLACK:
                     d = self.near(self.x[j], theirs)
-                    theirs.pop(int(np.argmax(d)))
+                    order = np.argsort(d, kind="stable")
+                    self.edges[j][at] = self.spread([theirs[o] for o in order], d[order], most)
         if level > self.top:
             self.entry, self.top = i, level
 
@@ -116,6 +180,7 @@ class HnswIndex:
     config: IndexConfig
     dim: int
     quantizer: ScalarQuantizer | ProductQuantizer | None = None
+    rows: DataFrame | None = None  # the indexed rows, whose metadata filters need
 
     @classmethod
     def build(cls, rows: DataFrame, config: IndexConfig, metric: str = "l2") -> HnswIndex:
@@ -138,6 +203,8 @@ class HnswIndex:
             g = Graph(x if quantizer is None or whole else quantizer.decode(codes), metric, m)
             for i in range(len(at)):
                 g.insert(i, int(level[i]), ef)
+            g.trim()
+            g.connect()
             out = {
                 "shard": pa.array(np.full(len(at), key[0].as_py(), np.int32)), "vid": pa.array(vid), "level": pa.array(level.astype(np.int32)),
                 "vec": table.column("vec").combine_chunks().take(pa.array(at)) if quantizer is None or whole else pa.nulls(len(at), pa.list_(pa.float32())),
@@ -148,16 +215,21 @@ class HnswIndex:
 
         dealt = rows.select("vid", "vec").filter("vid is not null and vec is not null")
         dealt = dealt.withColumn("level", level_column(m, config.seed)).withColumn("shard", F.pmod(F.xxhash64("vid"), F.lit(shards)).cast("int"))
-        return cls(dealt.groupBy("shard").applyInArrow(build, _GRAPH), metric, config, dim, quantizer)
+        return cls(dealt.groupBy("shard").applyInArrow(build, _GRAPH), metric, config, dim, quantizer, rows)
 
     def search(self, queries: DataFrame, k: int = 10, ef: int | None = None, where: Filter | Column | None = None) -> DataFrame:
-        """Approximate top-k; a filter needs its columns in the graph and is applied to a wider beam."""
-        table = queries.select("query_id", "qvec").filter("qvec is not null")
-        if 8 * table.count() * (self.dim + 1) > S.QUERY_BYTES:
-            raise InvalidParameter("more queries than one walk carries; split the query set")
-        packed = table.toArrow()
-        at, q = S.matrix(packed.column("qvec"), self.dim)
-        qid = packed.column("query_id").to_numpy()[at]
+        """Approximate top-k. With a filter, walks cross all nodes and keep matching ones, from a beam widened by
+        their share; shards where few match, or too few are met, scan the matching ones."""
+        graph = self.graph.withColumn("ok", F.lit(True))
+        if where is not None:
+            if self.rows is None:
+                raise InvalidParameter("a filtered search needs the indexed rows")
+            hits = matching(self.rows, where).select("vid").distinct().withColumn("ok", F.lit(True))
+            graph = self.graph.join(hits.hint("merge"), "vid", "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
+        found = [graph.groupBy("shard").applyInArrow(self._walk(qid, q, k, ef), S._FOUND) for qid, q in S.packed_queries(queries, self.dim)]
+        return S._ranked(reduce(DataFrame.union, found), self.metric, k)
+
+    def _walk(self, qid: np.ndarray, q: np.ndarray, k: int, ef: int | None):
         metric, quantizer, ef = self.metric, self.quantizer, ef or self.config.ef_search
         dim, m = self.dim, self.config.m
 
@@ -178,21 +250,27 @@ class HnswIndex:
             if isinstance(quantizer, ProductQuantizer) and shard.column("vec").null_count == 0:  # graphs of before have none
                 exact, wide = S.matrix(shard.column("vec"), dim)[1], max(S.WIDE, S.WIDER * k) if k > 0 else k
             ids, near = [], []
+            ok = shard.column("ok").to_numpy()
+            matches = np.flatnonzero(ok)
+            share = len(matches) / len(ok)
             for query, vec in zip(qid, q.astype(np.float64), strict=True):
-                rows = [i for _, i in g.search(vec, wide, ef)]
-                if wide > k:
-                    rows = np.array(rows, np.int64)
+                rows = matches
+                if share == 1:
+                    rows = np.array([i for _, i in g.search(vec, wide, ef)], np.int64)
+                elif share >= FEW:
+                    rows = np.array([i for _, i in g.search(vec, math.ceil(wide / share), math.ceil(ef / share)) if ok[i]], np.int64)
+                    rows = matches if len(rows) < min(k, len(matches)) else rows
+                if wide > k or share < 1:
                     rows = rows[S._best(S.distances(metric, vec[None], exact[rows])[0], vid[rows], k)]
                 ids.append((np.full(len(rows), query), vid[rows]))
                 near.append(S.distances(metric, vec[None], exact[rows])[0])
             return pa.table({"query_id": pa.array(np.concatenate([a for a, _ in ids] or [np.zeros(0, np.int64)])), "vid": pa.array(np.concatenate([b for _, b in ids] or [np.zeros(0, np.int64)])), "distance": pa.array(np.concatenate(near or [np.zeros(0)]))})
 
-        rows = self.graph if where is None else self.graph.filter(to_column(where, self.graph.schema))
-        return S._ranked(rows.groupBy("shard").applyInArrow(walk, S._FOUND), self.metric, k)
+        return walk
 
     def remove(self, vids: DataFrame) -> HnswIndex:
         """Without the nodes; links to them are skipped by searches."""
-        return HnswIndex(self.graph.join(vids.select("vid"), "vid", "left_anti"), self.metric, self.config, self.dim, self.quantizer)
+        return replace(self, graph=self.graph.join(vids.select("vid"), "vid", "left_anti"))
 
     def neighbors(self, vid: int, level: int = 0) -> DataFrame:
         return self.graph.filter(F.col("vid") == vid).select("vid", F.explode(F.coalesce(F.get("neighbors", F.lit(level)), F.array().cast("array<long>"))).alias("neighbor"))

@@ -9,7 +9,8 @@ codes only choose a wide list of candidates, which the vectors beside them rank.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +31,7 @@ class IvfIndex:
     config: IndexConfig
     quantizer: ScalarQuantizer | ProductQuantizer | None = None
     postings: DataFrame | None = None
+    rows: DataFrame | None = None  # the indexed rows, whose metadata filters need
 
     @classmethod
     def train(cls, rows: DataFrame, config: IndexConfig, metric: str = "l2", centroids: np.ndarray | None = None) -> IvfIndex:
@@ -66,10 +68,11 @@ class IvfIndex:
 
     def add(self, rows: DataFrame) -> IvfIndex:
         new = self.assign(rows)
-        return IvfIndex(self.centroids, self.metric, self.config, self.quantizer, new if self.postings is None else self.postings.unionByName(new))
+        every = rows if self.rows is None else self.rows.unionByName(rows, allowMissingColumns=True)
+        return replace(self, postings=new if self.postings is None else self.postings.unionByName(new), rows=every)
 
     def remove(self, vids: DataFrame) -> IvfIndex:
-        return IvfIndex(self.centroids, self.metric, self.config, self.quantizer, self.postings.join(vids.select("vid"), "vid", "left_anti"))
+        return replace(self, postings=self.postings.join(vids.select("vid"), "vid", "left_anti"))
 
     def list_sizes(self) -> DataFrame:
         return self.postings.groupBy("list_id").agg(F.count(F.lit(1)).alias("n"))
@@ -82,18 +85,16 @@ class IvfIndex:
     def _found(self, queries: DataFrame, k: int, nprobe: int | None, radius: float | None, where: Filter | Column | None) -> DataFrame:
         if self.postings is None:
             raise InvalidParameter("the index has no postings")
-        table = queries.select("query_id", "qvec").filter("qvec is not null")
+        postings = allowed(self.postings, self.rows, where)
+        return reduce(DataFrame.union, [self._scanned(postings, qid, q, k, nprobe, radius) for qid, q in S.packed_queries(queries, self.centroids.shape[1])])
+
+    def _scanned(self, postings: DataFrame, qid: np.ndarray, q: np.ndarray, k: int, nprobe: int | None, radius: float | None) -> DataFrame:
+        """Candidates of one block of queries."""
         dim = self.centroids.shape[1]
-        n = table.count()
-        if 8 * n * (dim + 1) > S.QUERY_BYTES:
-            raise InvalidParameter("more queries than one scan carries; split the query set")
-        packed = table.toArrow()
-        at, q = S.matrix(packed.column("qvec"), dim)
-        qid = packed.column("query_id").to_numpy()[at]
         probes = self.probes(q, nprobe)
         by_list: dict[int, np.ndarray] = {int(c): np.flatnonzero((probes == c).any(axis=1)) for c in np.unique(probes)}
         metric, quantizer = self.metric, self.quantizer
-        postings = matching(self.postings, where).filter(F.col("list_id").isin(sorted(by_list)))
+        postings = postings.filter(F.col("list_id").isin(sorted(by_list)))
 
         def run(batches):
             for batch in batches:
@@ -132,19 +133,20 @@ class IvfIndex:
 
 def pq_knn(rows: DataFrame, queries: DataFrame, quantizer: ProductQuantizer, k: int = 10) -> DataFrame:
     """Exact scan of product codes: each distance is a sum over the query's lookup table. Squared L2, or negative product for IP."""
-    packed = queries.select("query_id", "qvec").toArrow()
     dim = quantizer.books.shape[0] * quantizer.books.shape[2]
-    at, q = S.matrix(packed.column("qvec"), dim)
-    if 8 * len(q) * (dim + 1) > S.QUERY_BYTES:
-        raise InvalidParameter("more queries than one scan carries; split the query set")
-    qid = packed.column("query_id").to_numpy()[at]
-    tables = [quantizer.table(v) for v in q.astype(np.float64)]
+    rows = rows.select("vid", "vec").filter("vid is not null and vec is not null")
+    found = [rows.mapInArrow(_coded_scan(quantizer, dim, qid, q, k), S._FOUND) for qid, q in S.packed_queries(queries, dim)]
+    return S._ranked(reduce(DataFrame.union, found), "ip" if quantizer.metric == "ip" else "l2", k)
+
 
+def _coded_scan(quantizer: ProductQuantizer, dim: int, qid: np.ndarray, q: np.ndarray, k: int):
     def run(batches):
+        tables = None
         for batch in batches:
             at, x = S.matrix(batch.column("vec"), dim)
             if not len(at):
                 continue
+            tables = tables or [quantizer.table(v) for v in q.astype(np.float64)]
             codes, vid = quantizer.encode(x), batch.column("vid").to_numpy(zero_copy_only=False)[at]
             ids, vids, ds = [], [], []
             for i, table in enumerate(tables):
@@ -157,8 +159,16 @@ def pq_knn(rows: DataFrame, queries: DataFrame, quantizer: ProductQuantizer, k:
                 ds.append(d[best])
             yield S._emit(ids, vids, ds)
 
-    metric = "ip" if quantizer.metric == "ip" else "l2"
-    return S._ranked(rows.select("vid", "vec").filter("vid is not null and vec is not null").mapInArrow(run, S._FOUND), metric, k)
+    return run
+
+
+def allowed(postings: DataFrame, rows: DataFrame | None, where: Filter | Column | None) -> DataFrame:
+    """The postings whose row matches a filter on the indexed rows' columns."""
+    if where is None:
+        return postings
+    if rows is None:
+        raise InvalidParameter("a filtered search needs the indexed rows")
+    return postings.join(matching(rows, where).select("vid").hint("merge"), "vid", "left_semi")
 
 
 def distances_to(metric: str, queries: np.ndarray, centroids: np.ndarray) -> np.ndarray:

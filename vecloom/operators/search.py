@@ -85,10 +85,12 @@ def matrix(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _best(d: np.ndarray, vid: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k smallest distances, ties to the smaller vid; NaN is the largest."""
+    at = np.arange(len(d))
     if len(d) > k:
-        at = np.flatnonzero(d <= np.partition(d, k - 1)[k - 1])
-    else:
-        at = np.arange(len(d))
+        cut = np.partition(d, k - 1)[k - 1]
+        if not np.isnan(cut):
+            at = np.flatnonzero(d <= cut)
     return at[np.lexsort((vid[at], d[at]))[:k]]
 
 
@@ -142,6 +144,17 @@ def query_frame(spark: SparkSession, vectors: list[list[float]] | np.ndarray, fi
     return spark.createDataFrame([(first_id + i, [float(x) for x in v]) for i, v in enumerate(vectors)], "query_id long, qvec array<float>")
 
 
+def packed_queries(queries: DataFrame, dim: int):
+    """Query ids and vectors, in blocks of at most about QUERY_BYTES dealt by a hash of the id."""
+    table = queries.select("query_id", "qvec").filter("qvec is not null and query_id is not null")
+    n = max(1, math.ceil(8 * table.count() * (dim + 1) / QUERY_BYTES))
+    for i in range(n):
+        block = table if n == 1 else table.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i)
+        packed = block.toArrow()
+        at, q = matrix(packed.column("qvec"), dim)
+        yield packed.column("query_id").to_numpy()[at], q
+
+
 def _candidates(rows: DataFrame, queries: DataFrame, k: int, metric: str, radius: float | None) -> DataFrame:
     rows = rows.select("vid", "vec").filter("vec is not null and vid is not null")
     queries = queries.select("query_id", "qvec").filter("qvec is not null and query_id is not null")

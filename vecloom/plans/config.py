@@ -52,6 +52,10 @@ class NotSupported(VecloomError, NotImplementedError):
     code = -7
 
 
+class Conflict(VecloomError):
+    """Another writer changed the collection in the meantime; nothing was written."""
+
+
 #: What each status means.
 MESSAGES = {0: "success", -1: "error", -2: "invalid parameter", -4: "not found", -5: "already exists", -6: "index not ready", -7: "not supported"}
 
@@ -83,6 +87,9 @@ class IndexConfig:
         if not 1 <= self.nbits <= 8:
             raise InvalidParameter("nbits must be from 1 to 8")
 
+    def to_dict(self) -> dict:
+        return asdict(self) | {"type": self.type.value}
+
 
 @dataclass
 class CollectionConfig:

@@ -39,8 +39,12 @@ class Files:
         p, fs = self._path(path)
         return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
+    def has_text(self, path: str) -> bool:
+        return self.exists(path) or self.exists(f"{path}.new")
+
     def read_text(self, path: str) -> str:
-        p, fs = self._path(path)
+        """Content that `write_text` left; if it was stopped before its last step, the new one."""
+        p, fs = self._path(path if self.exists(path) else f"{path}.new")
         stream = fs.open(p)
         try:
             return bytes(stream.readAllBytes()).decode()
@@ -48,7 +52,7 @@ class Files:
             stream.close()
 
     def write_text(self, path: str, text: str) -> None:
-        """The old content stays until the new one is complete."""
+        """The old content stays until the new one is complete, and readers find the new one from then on."""
         p, fs = self._path(f"{path}.new")
         stream = fs.create(p, True)
         stream.write(bytearray(text.encode()))

@@ -2,20 +2,19 @@
 
 A collection is a folder with immutable versions of its rows and one manifest that
 points at the current version; readers see one version throughout. Every mutation
-writes a new version and then moves the pointer; in a transaction the pointers move
-together at commit. Metadata columns are persisted with the vectors, and an index is
+writes a new version and then moves the pointer, unless another writer moved it since
+it was read (Conflict); in a transaction the pointers move together at commit. Metadata columns are persisted with the vectors, and an index is
 a set of tables beside them that belongs to one version: after a mutation searches
 are exact until the index is rebuilt.
 """
 
 from __future__ import annotations
 
-import base64
 import json
-import pickle
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,9 +26,11 @@ from vecloom.operators.aggregates import collection_stats
 from vecloom.operators.filters import Filter
 from vecloom.operators.hnsw import HnswIndex
 from vecloom.operators.ivf import IvfIndex
+from vecloom.operators.quantize import ProductQuantizer, ScalarQuantizer
 from vecloom.plans.config import (
     AlreadyExists,
     CollectionConfig,
+    Conflict,
     IndexConfig,
     IndexType,
     InvalidParameter,
@@ -48,26 +49,45 @@ class Collection:
         self.database, self.name = database, name
         self.spark, self.files = database.spark, database.files
         self.path = f"{database.path}/{name}"
-        self.manifest = json.loads(self.files.read_text(f"{self.path}/manifest.json"))
+        self.manifest = self._stored_manifest()
+        self._base = json.dumps(self.manifest)
         self.config = CollectionConfig(**self.manifest["config"])
         self._index = None
 
     # state
 
+    def _stored_manifest(self) -> dict:
+        return json.loads(self.files.read_text(f"{self.path}/manifest.json"))
+
+    def _writable(self) -> None:
+        """Raises for a read-only database, and if another writer moved the pointer since this object read it."""
+        self.database.writable()
+        if json.dumps(self._stored_manifest()) != self._base:
+            raise Conflict(f"{self.name} was changed by another writer; refresh it")
+
+    def refresh(self) -> None:
+        """The current version as other writers left it."""
+        self.manifest, self._index = self._stored_manifest(), None
+        self._base = json.dumps(self.manifest)
+
     def _save(self, **changes) -> None:
-        if self.database.read_only:
-            raise NotSupported("the database is open for reading only")
+        self._writable()
         self.manifest |= changes
-        if not self.database.in_transaction():
-            self.files.write_text(f"{self.path}/manifest.json", json.dumps(self.manifest))
-        else:
+        if self.database.in_transaction():
             self.database._touched.add(self.name)
+        else:
+            self._publish()
+
+    def _publish(self) -> None:
+        self._base = json.dumps(self.manifest)
+        self.files.write_text(f"{self.path}/manifest.json", self._base)
 
     def rows(self) -> DataFrame:
         """vid, vec and metadata columns of the current version."""
         return self.spark.read.parquet(f"{self.path}/{self.manifest['version']}")
 
     def _write(self, rows: DataFrame, next_vid: int | None = None) -> None:
+        self._writable()
         version = f"rows-{uuid.uuid4().hex}"
         rows.write.parquet(f"{self.path}/{version}")
         self._index = None
@@ -207,22 +227,22 @@ class Collection:
         return S.query_frame(self.spark, queries)
 
     def search_batch(self, queries, k: int = 10, where: Filter | Column | None = None, include: tuple[str, ...] = (), nprobe: int | None = None, ef_search: int | None = None) -> DataFrame:
-        """query_id, rank, vid, distance, score (and the columns of include). A filtered search is exact."""
+        """query_id, rank, vid, distance, score (and the columns of include)."""
         q, metric = self._queries(queries), self.config.metric.value
         rows = self.rows()
-        index = self._load_index() if where is None and k > 0 else None
+        index = self._load_index() if k > 0 else None
         if index is None:
             return S.knn(rows, q, k, metric, where, include)
-        found = index.search(q, k, nprobe) if isinstance(index, IvfIndex) else index.search(q, k, ef_search)
-        found = self._topped_up(found, q, rows, k, metric)
+        found = index.search(q, k, nprobe, where) if isinstance(index, IvfIndex) else index.search(q, k, ef_search, where)
+        found = self._topped_up(found, q, rows, k, metric, where)
         return found.join(rows.select("vid", *include), "vid").select(*found.columns, *include) if include else found
 
-    def _topped_up(self, found: DataFrame, queries: DataFrame, rows: DataFrame, k: int, metric: str) -> DataFrame:
+    def _topped_up(self, found: DataFrame, queries: DataFrame, rows: DataFrame, k: int, metric: str, where: Filter | Column | None) -> DataFrame:
         """Queries that the index gave fewer than k rows are answered exactly."""
         short = queries.join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= k), "query_id", "left_anti")
         if short.isEmpty():
             return found
-        exact = S.knn(rows, short, k, metric)
+        exact = S.knn(rows, short, k, metric, where)
         return found.join(short.select("query_id"), "query_id", "left_anti").select(*exact.columns).unionByName(exact)
 
     def search(self, query, k: int = 10, **options) -> DataFrame:
@@ -255,12 +275,13 @@ class Collection:
             used = IndexConfig(**(vars(config) | {"type": kind}))
             index = IvfIndex.train(rows, used, self.config.metric.value)
             index.assign(rows).repartition("list_id").write.partitionBy("list_id").parquet(f"{self.path}/{name}")
-            state = (index.centroids, index.metric, used, index.quantizer)
+            state = {"centroids": index.centroids.tolist(), "config": used.to_dict()}
         else:
             index = HnswIndex.build(rows, config, self.config.metric.value)
             index.graph.write.parquet(f"{self.path}/{name}")
-            state = (index.metric, config, index.dim, index.quantizer)
-        self._save(index={"folder": name, "kind": kind.value, "state": base64.b64encode(pickle.dumps(state)).decode()})
+            state = {"dim": index.dim, "config": config.to_dict()}
+        state |= {"metric": index.metric, "quantizer": _quantizer_state(index.quantizer)}
+        self._save(index={"folder": name, "kind": kind.value, "state": state})
 
     def rebuild_index(self, config: IndexConfig | None = None) -> None:
         self.drop_index()
@@ -278,9 +299,12 @@ class Collection:
     def _load_index(self) -> IvfIndex | HnswIndex | None:
         entry = self.manifest.get("index")
         if entry and self._index is None:
-            state = pickle.loads(base64.b64decode(entry["state"]))
-            table = self.spark.read.parquet(f"{self.path}/{entry['folder']}")
-            self._index = IvfIndex(*state, postings=table) if IndexType(entry["kind"]) in _IVF else HnswIndex(table, *state)
+            state, table = entry["state"], self.spark.read.parquet(f"{self.path}/{entry['folder']}")
+            config, quantizer = IndexConfig(**state["config"]), _quantizer(state["quantizer"])
+            if IndexType(entry["kind"]) in _IVF:
+                self._index = IvfIndex(np.array(state["centroids"], np.float64), state["metric"], config, quantizer, table, self.rows())
+            else:
+                self._index = HnswIndex(table, state["metric"], config, state["dim"], quantizer, self.rows())
         return self._index if entry else None
 
     # maintenance
@@ -311,17 +335,34 @@ class Collection:
                 self.files.delete(f"{self.path}/{name}")
 
 
+def _quantizer_state(quantizer: ScalarQuantizer | ProductQuantizer | None) -> dict | None:
+    if quantizer is None:
+        return None
+    if isinstance(quantizer, ScalarQuantizer):
+        return {"low": quantizer.low.tolist(), "high": quantizer.high.tolist()}
+    return {"books": quantizer.books.tolist(), "metric": quantizer.metric}
+
+
+def _quantizer(state: dict | None) -> ScalarQuantizer | ProductQuantizer | None:
+    if state is None:
+        return None
+    if "low" in state:
+        return ScalarQuantizer(np.array(state["low"], np.float64), np.array(state["high"], np.float64))
+    return ProductQuantizer(np.array(state["books"], np.float64), state["metric"])
+
+
 class Database:
     def __init__(self, spark: SparkSession, path: str, create: bool = True, read_only: bool = False):
         self.spark, self.path, self.read_only = spark, path.rstrip("/"), read_only
         self.files = Files(spark)
         if not self.files.exists(self.path):
-            if not create:
+            if not create or read_only:
                 raise NotFound(path)
             self.files.make(self.path)
         self._open: dict[str, Collection] = {}
-        self._saved: dict[str, dict] | None = None
+        self._open_transaction = False
         self._touched: set[str] = set()
+        self._made: set[str] = set()
         self.closed = False
 
     version = __version__
@@ -344,13 +385,23 @@ class Database:
     def sync(self) -> None:
         """Every mutation is on storage already."""
 
+    def writable(self) -> None:
+        if self.read_only:
+            raise NotSupported("the database is open for reading only")
+        if self.closed:
+            raise NotSupported("the database is closed")
+
     def create_collection(self, name: str, dim: int, metric: Metric | str = Metric.L2, index: IndexConfig | None = None) -> Collection:
+        """A new, empty collection; made in a transaction, it goes with a rollback."""
+        self.writable()
         if self.has_collection(name):
             raise AlreadyExists(name)
         config = CollectionConfig(name, dim, Metric(metric), index or IndexConfig())
         folder = f"{self.path}/{name}"
         self.spark.createDataFrame([], "vid long, vec array<float>").write.mode("overwrite").parquet(f"{folder}/rows-0")
         self.files.write_text(f"{folder}/manifest.json", json.dumps({"config": json.loads(config.to_json()), "version": "rows-0", "next_vid": 1, "index": None}))
+        if self.in_transaction():
+            self._made.add(name)
         return self.collection(name)
 
     def collection(self, name: str) -> Collection:
@@ -361,18 +412,25 @@ class Database:
         return self._open[name]
 
     def has_collection(self, name: str) -> bool:
-        return self.files.exists(f"{self.path}/{name}/manifest.json")
+        return self.files.has_text(f"{self.path}/{name}/manifest.json")
 
     def list_collections(self) -> list[str]:
         return [n for n in self.files.list(self.path) if self.has_collection(n)]
 
+    def _outside_transactions(self) -> None:
+        self.writable()
+        if self.in_transaction():
+            raise NotSupported("collections are dropped and renamed outside transactions")
+
     def drop_collection(self, name: str) -> None:
+        self._outside_transactions()
         if not self.has_collection(name):
             raise NotFound(name)
         self._open.pop(name, None)
         self.files.delete(f"{self.path}/{name}")
 
     def rename_collection(self, old: str, new: str) -> None:
+        self._outside_transactions()
         if not self.has_collection(old):
             raise NotFound(old)
         if self.has_collection(new):
@@ -404,28 +462,39 @@ class Database:
     # transactions: pointers move together
 
     def in_transaction(self) -> bool:
-        return self._saved is not None
+        return self._open_transaction
 
     def begin(self) -> None:
         if self.in_transaction():
             raise AlreadyExists("a transaction is open")
-        self._saved = {n: json.loads(json.dumps(self.collection(n).manifest)) for n in self.list_collections()}
-        self._touched = set()
+        self.writable()
+        for name in self.list_collections():
+            self.collection(name).refresh()
+        self._open_transaction, self._touched, self._made = True, set(), set()
 
     def commit(self) -> None:
+        """Moves the pointers of all changed collections; if another writer moved one, none moves and it rolls back."""
         if not self.in_transaction():
             raise NotFound("no transaction is open")
-        self._saved = None
+        try:
+            for name in sorted(self._touched):
+                self._open[name]._writable()
+        except Conflict:
+            self.rollback()
+            raise
+        self._open_transaction = False
         for name in sorted(self._touched):
-            self._open[name]._save()
+            self._open[name]._publish()
 
     def rollback(self) -> None:
+        """Changed collections go back to what is stored; those made in the transaction go."""
         if not self.in_transaction():
             raise NotFound("no transaction is open")
-        for name in self._touched:
-            c = self._open[name]
-            c.manifest, c._index = self._saved[name], None
-        self._saved = None
+        self._open_transaction = False
+        for name in self._made:
+            self.drop_collection(name)
+        for name in self._touched - self._made:
+            self._open[name].refresh()
 
     # copies and exchange
 
