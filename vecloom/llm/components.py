@@ -2,11 +2,12 @@
 
 Each round hangs the larger neighbours of every node on its smallest neighbour
 (large star), then the smaller ones likewise (small star). Both are joins with
-combinable minimum aggregates. Rounds grow with the logarithm of a chain's length.
-A node's edges are dealt to SALTS parts by the other end. Each part takes the minimum
-of its own edges first, the node's minimum goes back to the parts that it has, and
-only these meet the edges: no task gets all edges of a hub, and what is copied for
-the parts is never more than the edges. A round's tables are deleted after the next.
+combinable minimum aggregates. Rounds grow with the logarithm of a chain's length;
+they end when every node is either smaller than all its neighbours or has one only.
+A node's edges are dealt to SALTS parts by the other end. Its minimum is combined
+before the shuffle, goes back to the parts that the node has, and only these meet
+the edges: no task gets all edges of a hub, and what is copied for the parts is never
+more than the edges. A round's tables are deleted after the next.
 """
 
 from __future__ import annotations
@@ -16,34 +17,52 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.common import drop_stored, stored
 
-#: Parts that the edges of one node are dealt to.
+#: Parts that the edges of one node are dealt to (bits of a long tell which it has).
 SALTS = 64
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
+def _near(edges: DataFrame, large: bool) -> DataFrame:
+    """a, b, part: each node with its neighbours, or only with its smaller ones."""
     if large:
         near = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    else:  # from each node to its smaller neighbours
+    else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    near = near.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
-    parts = near.groupBy("a", "part").agg(F.min("b").alias("low"))
-    low = parts.groupBy("a").agg(F.min("low").alias("low"), F.collect_list("part").alias("parts"))
-    low = low.withColumn("low", F.least("a", "low"))
-    hung = near.join(low.select("a", "low", F.explode("parts").alias("part")).hint("merge"), ["a", "part"])
-    if large:
-        return hung.filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-    return hung.select(F.col("b").alias("a"), F.col("low").alias("b")).union(low.select("a", F.col("low").alias("b"))).filter("a <> b").distinct()
+    return near.withColumn("part", F.pmod(F.xxhash64("b"), F.lit(SALTS)).cast("int"))
+
+
+def _lowest(near: DataFrame) -> DataFrame:
+    """a, low (its smallest neighbour), high (its largest one), parts (those that it has, as bits)."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("part"))
+    return near.groupBy("a").agg(F.min("b").alias("low"), F.max("b").alias("high"), F.bit_or(bit).alias("parts"))
+
+
+def _hung(near: DataFrame, lowest: DataFrame) -> DataFrame:
+    """near with low: the smallest of a and its neighbours."""
+    has = F.filter(F.sequence(F.lit(0), F.lit(SALTS - 1)), lambda k: F.call_function("shiftright", F.col("parts"), k).bitwiseAND(F.lit(1)) == 1)
+    low = lowest.select("a", F.least("a", "low").alias("low"), F.explode(has).alias("part"))
+    return near.join(low.hint("merge"), ["a", "part"])
+
+
+def _contracted(edges: DataFrame, lowest: DataFrame) -> DataFrame:
+    """The edges after a large star, by its minima, and a small star."""
+    edges = _hung(_near(edges, large=True), lowest).filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
+    near = _near(edges, large=False)
+    lowest = _lowest(near)
+    hung = _hung(near, lowest).select(F.col("b").alias("a"), F.col("low").alias("b"))
+    return hung.union(lowest.select("a", F.col("low").alias("b"))).filter("a <> b").distinct()
 
 
 def connected_components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """edges (a, b), long: node, component (its smallest reachable node); only nodes with edges to others."""
     edges = stored(edges.filter("a <> b").select("a", "b").distinct())
-    before = None
     for _ in range(rounds):
-        edges = stored(_star(_star(edges, large=True), large=False), edges)
-        now = edges.agg(F.count(F.lit(1)).alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
-        if now == before:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = now
+        lowest = stored(_lowest(_near(edges, large=True)))
+        # a star's centre is below its neighbours, its other nodes have no neighbour but the centre
+        if lowest.filter("low < a and low < high").isEmpty():
+            found = stored(lowest.filter("low < a").select(F.col("a").alias("node"), F.col("low").alias("component")), lowest)
+            drop_stored(edges)
+            return found
+        edges = stored(_contracted(edges, lowest), edges)
+        drop_stored(lowest)
     drop_stored(edges)
     raise RuntimeError("components did not settle")
