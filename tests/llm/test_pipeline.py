@@ -3,9 +3,10 @@
 from collections import Counter
 
 import corpus_pipeline as P
+import pyarrow as pa
 import pytest
 
-from vecloom.llm import queries, secret_scan
+from vecloom.llm import common, queries, secret_scan
 from vecloom.llm.quality_crf import train
 
 pytest.importorskip("public_tokenizers")
@@ -65,6 +66,32 @@ def test_quality_stage_drops_what_the_model_rejects(spark, folder):
     assert P.quality(spark, docs, folder).count() <= docs.count()
 
 
+def test_texts_reach_workers_in_small_batches(spark, monkeypatch):
+    """64 texts of 256 KB in one partition (16 MB): no batch holds much over BATCH bytes, whatever the session allows."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(64, numPartitions=1).selectExpr("id AS doc_id", "repeat('word ', 52429) AS text")
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], names=["n", "size"])
+
+    monkeypatch.setattr(P.near_copies, "drop_near_copies", lambda docs: docs.mapInArrow(sizes, "n long, size long"))
+    for held, most in (("64m", 4 << 20), ("1m", 1 << 20)):
+        try:
+            spark.conf.set(name, held)
+            got = P.near(spark, docs, "").collect()
+        finally:
+            spark.conf.unset(name)
+        assert sum(r["n"] for r in got) == 64 and max(r["size"] for r in got) <= most + (1 << 19)
+
+
+def test_workers_keep_small_tables(monkeypatch):
+    monkeypatch.setattr(common, "_POWERS", {})
+    for n in (1000, 70_000, common.BLOCK_BYTES + 1):
+        up, down = common.powers(n, 0)
+        assert n <= len(up) == len(down) < 2 * n and (up[:n] * down[:n] == 1).all()
+
+
 def test_registered_once():
     assert [n for n in queries.QUERIES if n.startswith("op")] == list(queries.QUERIES)
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))

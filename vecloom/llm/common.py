@@ -7,7 +7,9 @@ memory follows the block size (and the longest single text), not its partition.
 
 from __future__ import annotations
 
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 
@@ -115,6 +117,35 @@ def blocks(batches, column: str = "text", size: int = BLOCK_BYTES):
             at = min(end, n)
 
 
+#: Bytes of rows that go to a Python worker at once in the pipeline.
+BATCH = 4 << 20
+
+
+def small_batches(spark: SparkSession, size: int = BATCH) -> None:
+    """Sets the session's limit of an Arrow batch to `size` bytes, unless it is lower.
+
+    A batch of long texts is held several times over: by the JVM on its way out and back, by
+    the worker while the next one comes. Which rows come together changes no result.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(name)) <= size:
+        spark.conf.set(name, f"{size}b")
+
+
+def tidy(run):
+    """run, then what it freed goes back to the system: Spark keeps its Python workers for later stages."""
+
+    def tidied(batches):
+        yield from run(batches)
+        pa.default_memory_pool().release_unused()
+        if sys.platform == "linux":
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc
+            if trim is not None:
+                trim(0)
+
+    return tidied
+
+
 def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start and end bytes of all words, and each row's first word number (n + 1 of them)."""
     if not len(data):
@@ -134,7 +165,7 @@ def word_spans(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
     """Base ** i and base ** -i for i below n, modulo 2 ** 64 (bases are odd)."""
     if which not in _POWERS or len(_POWERS[which][0]) < n:
-        n = max(n, BLOCK_BYTES + 1)
+        n = max(n, min(1 << (n - 1).bit_length(), BLOCK_BYTES + 1))  # a worker keeps them: no more than its blocks need
         base, tables = _BASES[which], []
         for b in (base, pow(base, -1, 1 << 64)):
             t = np.full(n, np.uint64(b))
@@ -233,7 +264,7 @@ def sieved(batches, column: str, table: np.ndarray, inside: bool = True):
 
 def sieve(df: DataFrame, column: str, table: np.ndarray, inside: bool = True) -> DataFrame:
     """`sieved` rows of a table; nothing is shuffled."""
-    return df.mapInArrow(lambda batches: sieved(batches, column, table, inside), df.schema)
+    return df.mapInArrow(tidy(lambda batches: sieved(batches, column, table, inside)), df.schema)
 
 
 def keep_rows(docs: DataFrame, kept: DataFrame, doubtful: DataFrame) -> DataFrame:

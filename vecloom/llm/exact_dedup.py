@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import bit_table, blocks, ids_and_texts, keep_rows, sieved, stored, text_buffers, text_tag, with_group
+from vecloom.llm.common import bit_table, blocks, ids_and_texts, keep_rows, sieved, stored, text_buffers, text_tag, tidy, with_group
 
 PRIME = (1 << 31) - 1
 BASES = (1_103_515_245, 1_812_433_253)
@@ -131,7 +131,7 @@ def differing_groups(docs: DataFrame, info: DataFrame, size: int = COMPARE) -> D
     kind = "fp long, n_bytes long, text string"
     table, work = bit_table(tags), _tagged
     # sieved in the same worker: two in a task would double the memory
-    texts = docs.select(text_tag().alias("tag"), "text").mapInArrow(lambda batches: work(sieved(batches, "tag", table)), kind)
+    texts = docs.select(text_tag().alias("tag"), "text").mapInArrow(tidy(lambda batches: work(sieved(batches, "tag", table))), kind)
     texts = texts.join(repeated.hint("shuffle_hash"), key)
     raw = F.encode(F.coalesce("text", F.lit("")), "UTF-8")
     numbered = texts.select("fp", "n_bytes", raw.alias("raw"), F.explode(F.sequence(F.lit(0), (F.col("n_bytes") / size).cast("int"))).alias("chunk"))
@@ -154,7 +154,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 def decide(docs: DataFrame) -> DataFrame:
     """exact_dedup with each row's text tag."""
     rows = ids_and_texts(docs)
-    described = rows.withColumn("tag", text_tag()).mapInArrow(_describe, "doc_id long, tag long, fp long, n_bytes long, text_sha256 string")
+    described = rows.withColumn("tag", text_tag()).mapInArrow(tidy(_describe), "doc_id long, tag long, fp long, n_bytes long, text_sha256 string")
     info = stored(described.withColumn("row", F.monotonically_increasing_id()))
     key = ["fp", "n_bytes"]
     # compared once; where no texts differ under one fingerprint, as nearly always, nothing is left to join

@@ -32,7 +32,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vecloom.llm import pieces
-from vecloom.llm.common import blocks, cut_lineage, ids_and_texts
+from vecloom.llm.common import blocks, cut_lineage, ids_and_texts, tidy
 
 CAPACITY = 4096
 END_ID = 1
@@ -41,6 +41,8 @@ BINS, DEPTH, LEAST = 128, 3, 800
 #: Bins that a fitted pattern leaves open: best fit closes them with pieces of just that length.
 GAP = 24
 WORD_TABLE = 400_000
+#: Text bytes of a block: its list of words takes a multiple of them.
+BLOCK = 1 << 19
 
 
 @lru_cache(maxsize=2)
@@ -109,7 +111,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
 
     def run(batches):
         encode = tokenizer(path, table).encode
-        for block in blocks(batches):
+        for block in blocks(batches, size=BLOCK):
             out, ids = [], []
             for doc_id, packed in zip(block.column("doc_id").to_pylist(), encode([t or "" for t in block.column("text").to_pylist()]), strict=True):
                 packed += end
@@ -121,7 +123,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int
             columns = [pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], names=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
 
-    return ids_and_texts(docs).mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
+    return ids_and_texts(docs).mapInArrow(tidy(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def patterns(total: int, depth: int, least: int = 1) -> list[tuple[int, ...]]:

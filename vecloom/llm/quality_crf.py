@@ -24,12 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import blocks, ids_and_texts, text_buffers, word_hashes, word_spans
+from vecloom.llm.common import blocks, ids_and_texts, text_buffers, tidy, word_hashes, word_spans
 
 FOLDS, THRESHOLD = 5, 0.3
 #: Bounds of the training sample: documents, and lines of each.
 SAMPLE, TRAIN_LINES = 4000, 400
 ROUNDS, RATE, RIDGE = 200, 0.1, 1e-3
+#: Text bytes of a block of drop_bad: its lines' features take a multiple of them.
+BLOCK = 1 << 19
 
 #: Byte classes that lines are counted by.
 _CLASSES = ("lower", "upper", "digit", "space", "stop", "bang", "bar", "symbol", "quote", "high")
@@ -198,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: int =
     ids = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).filter("doc_id is not null and quality in (0, 1)")
     ids = ids.filter(~is_held_out(F.col("doc_id"), folds)).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     picked = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = ids_and_texts(docs).join(F.broadcast(picked), "doc_id").select("quality", "text").mapInArrow(_packed(lines), "quality int, lines binary")
+    rows = ids_and_texts(docs).join(F.broadcast(picked), "doc_id").select("quality", "text").mapInArrow(tidy(_packed(lines)), "quality int, lines binary")
     # a fixed order, so that the same rows give the same weights
     found = sorted((bytes(r["lines"]), r["quality"]) for r in rows.collect())
     label = np.array([q for _, q in found])
@@ -235,8 +237,8 @@ def drop_bad(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD) -> Dat
 
     def run(batches):
         chain = Chain(weights, stay)
-        for block in blocks(batches):
+        for block in blocks(batches, size=BLOCK):
             score = chain.quality(*line_features(*text_buffers(block.column("text"))))
             yield block.filter(pa.array(score >= threshold))
 
-    return docs.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))
+    return docs.mapInArrow(tidy(run), ", ".join(f"`{n}` {t}" for n, t in docs.dtypes))

@@ -32,7 +32,7 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from vecloom.llm.common import blocks, ids_and_texts
+from vecloom.llm.common import blocks, ids_and_texts, tidy
 
 BASE_KINDS = ("assign", "access", "hex")
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -273,4 +273,4 @@ def redact_documents(docs: DataFrame, labelled: Iterable[tuple[str, str]] | None
             new = {"text": pa.array(texts, pa.string())} | ({} if sizes is None else {"n_chars": pa.array(sizes, block.schema.field("n_chars").type)})
             yield pa.RecordBatch.from_arrays([new.get(n, block.column(n)) for n in names], names=names)
 
-    return docs.mapInArrow(run, kinds)
+    return docs.mapInArrow(tidy(run), kinds)

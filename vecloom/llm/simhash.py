@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vecloom.llm.common import PARTS, blocks, ids_and_texts, keep_rows, stored, text_buffers, text_tag, with_group
+from vecloom.llm.common import PARTS, blocks, ids_and_texts, keep_rows, stored, text_buffers, text_tag, tidy, with_group
 from vecloom.llm.components import connected_components
 
 BITS = 64
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             texts = [raw[a:b] for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([block.column("doc_id"), block.column("tag"), pa.array(_fingerprints(texts, shingle, seed).view(np.int64))], names=["doc_id", "tag", "fp"])
 
-    return ids_and_texts(docs).withColumn("tag", text_tag()).mapInArrow(run, "doc_id long, tag long, fp long")
+    return ids_and_texts(docs).withColumn("tag", text_tag()).mapInArrow(tidy(run), "doc_id long, tag long, fp long")
 
 
 def covering_masks(radius: int = RADIUS) -> list[int]:
