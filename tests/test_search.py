@@ -1,6 +1,7 @@
 """Search, filters, aggregates, mutations, quantizers and indexes."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -234,3 +235,25 @@ def test_many_queries_go_in_blocks(spark, data, monkeypatch):
     want = sorted(index.search(q, 3).collect())
     monkeypatch.setattr(S, "QUERY_BYTES", 4000)
     assert len(list(S.packed_queries(q, 32))) > 2 and sorted(index.search(q, 3).collect()) == want
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_all_results_of_a_query_are_ranked_where_they_are_found(spark, data, monkeypatch):
+    """k beyond the rows, and no result held longer than its query's turn: no shuffle of results, no list of all of them."""
+    x, df = data
+    got = S.knn(df, S.query_frame(spark, x[:20]), 100_000)
+    assert "Window" not in _plan(got) and got.count() == 20 * 400
+    spool, ids = S.Spool(lambda b, n: np.frombuffer(b, np.float32).reshape(n, -1)), np.random.default_rng(1).permutation(400)
+    twice = np.concatenate((x[:200], x[:200]))  # every distance twice: ties go to the smaller vid
+    for a in range(0, 400, 50):
+        spool.add(0, pa.py_buffer(ids[a : a + 50].tobytes()), pa.py_buffer(twice[a : a + 50].tobytes()))
+    monkeypatch.setattr(S, "HELD", 800)
+    for k in (None, 300, 1000):
+        found = [r for b in S.gathered("l2", np.arange(5), x[:5], spool, k, None) for r in b.to_pylist()]
+        d = S.distances("l2", x[:5], twice)
+        for q in range(5):
+            want = sorted(zip(d[q], ids, strict=True))[:k]
+            assert [(r["distance"], r["vid"], r["rank"]) for r in found if r["query_id"] == q] == [(e, v, n + 1) for n, (e, v) in enumerate(want)]
