@@ -257,3 +257,22 @@ def test_all_results_of_a_query_are_ranked_where_they_are_found(spark, data, mon
         for q in range(5):
             want = sorted(zip(d[q], ids, strict=True))[:k]
             assert [(r["distance"], r["vid"], r["rank"]) for r in found if r["query_id"] == q] == [(e, v, n + 1) for n, (e, v) in enumerate(want)]
+
+
+
+def test_bounds_are_below_the_distances():
+    """So that no nearest row of an all-pairs search is lost, whatever the numbers."""
+    rng = np.random.default_rng(3)
+    for scale in (1e-30, 1e-9, 1.0, 1e9, 1e25):
+        x = (rng.standard_normal((60, 16)) * scale).astype(np.float32)
+        x[3], x[4, 2], x[5, 1], x[6] = 0, np.nan, np.inf, x[7]
+        for metric in ("l2", "ip", "cosine", "l1", "hamming"):
+            with np.errstate(all="ignore"):
+                d, low = S.distances(metric, x[:20], x), S._Bounds(metric, x[:20]).of(slice(0, 20), x)
+                assert not (low > d).any()
+                held = S.Nearest(metric, x[:20], 7)
+                for a in (0, 5, 30):
+                    held.add(np.arange(60)[::-1][a : {0: 5, 5: 30, 30: 60}[a]], x[a : {0: 5, 5: 30, 30: 60}[a]])
+            for i in range(20):
+                want = np.lexsort((np.arange(60)[::-1], d[i]))[:7]
+                assert held.vid[i].tolist() == (59 - want).tolist() and np.array_equal(held.d[i], d[i][want], equal_nan=True)
