@@ -276,3 +276,15 @@ def test_bounds_are_below_the_distances():
             for i in range(20):
                 want = np.lexsort((np.arange(60)[::-1], d[i]))[:7]
                 assert held.vid[i].tolist() == (59 - want).tolist() and np.array_equal(held.d[i], d[i][want], equal_nan=True)
+
+
+
+def test_range_with_capacity_keeps_no_more(spark, data):
+    x, df = data
+    got = S.range_search(df, S.query_frame(spark, x[:30]), 1000.0, capacity=7)
+    assert got.count() == 30 * 7
+    scan = S._scan("l2", np.arange(30), x[:30], 7, 1000.0)
+    batches = df.select("vid", "vec").toArrow().to_batches()
+    assert sum(b.num_rows for b in scan(batches)) == 30 * 7
+    assert sorted(got.drop("score").collect()) == sorted(S.range_search(df, S.query_frame(spark, x[:30]), 1000.0).filter("rank <= 7").drop("score").collect())
+    assert S.range_search(df, S.query_frame(spark, x[:3]), 1000.0, capacity=0).count() == 0
