@@ -288,3 +288,15 @@ def test_range_with_capacity_keeps_no_more(spark, data):
     assert sum(b.num_rows for b in scan(batches)) == 30 * 7
     assert sorted(got.drop("score").collect()) == sorted(S.range_search(df, S.query_frame(spark, x[:30]), 1000.0).filter("rank <= 7").drop("score").collect())
     assert S.range_search(df, S.query_frame(spark, x[:3]), 1000.0, capacity=0).count() == 0
+
+
+
+def test_range_results_leave_a_task_in_small_batches(spark, data):
+    x, df = data
+    q = S.query_frame(spark, x[:20])
+    assert "Window" not in _plan(S.range_search(df, q, 1000.0)) and S.range_search(df, q, 1000.0).count() == 20 * 400
+    spool = S.Spool(lambda b, n: np.frombuffer(b, np.float32).reshape(n, -1))
+    many = np.zeros((100_000, 2), np.float32)
+    spool.add(0, pa.py_buffer(np.arange(len(many)).tobytes()), pa.py_buffer(many.tobytes()))
+    sizes = [b.num_rows for b in S.gathered("l2", np.arange(3), many[:3], spool, None, 1.0)]
+    assert sum(sizes) == 300_000 and max(sizes) < 1 << 17
