@@ -300,3 +300,17 @@ def test_range_results_leave_a_task_in_small_batches(spark, data):
     spool.add(0, pa.py_buffer(np.arange(len(many)).tobytes()), pa.py_buffer(many.tobytes()))
     sizes = [b.num_rows for b in S.gathered("l2", np.arange(3), many[:3], spool, None, 1.0)]
     assert sum(sizes) == 300_000 and max(sizes) < 1 << 17
+
+
+
+def test_index_range_is_ranked_where_it_is_found(spark, data):
+    x, df = data
+    q = S.query_frame(spark, x[:50])
+    for kind in ("ivf", "ivf_sq", "ivf_pq"):
+        index = IvfIndex.train(df, IndexConfig(type=kind, nlist=8, nprobe=3, nsub=16, nbits=6)).add(df)
+        got = index.range_search(q, 25.0)
+        assert "Window" not in _plan(got)
+        assert sorted(index.range_search(q, 25.0, capacity=4).collect()) == sorted(got.filter("rank <= 4").collect())
+        assert sorted(index.search(q, 300).collect()) == sorted(index.range_search(q, 1e9).filter("rank <= 300").collect())
+        if kind == "ivf":
+            assert sorted(index.range_search(q, 25.0, nprobe=8).collect()) == sorted(S.range_search(df, q, 25.0).collect())
