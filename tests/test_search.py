@@ -314,3 +314,16 @@ def test_index_range_is_ranked_where_it_is_found(spark, data):
         assert sorted(index.search(q, 300).collect()) == sorted(index.range_search(q, 1e9).filter("rank <= 300").collect())
         if kind == "ivf":
             assert sorted(index.range_search(q, 25.0, nprobe=8).collect()) == sorted(S.range_search(df, q, 25.0).collect())
+
+
+
+def test_vectors_beside_product_codes_rank_the_probed_lists(spark, data):
+    """All of them, however the rows are dealt; a partition gives k candidates a query, not k a batch and list."""
+    x, df = data
+    q = S.query_frame(spark, x[:30])
+    index = IvfIndex.train(df, IndexConfig(type="ivf_pq", nlist=8, nprobe=3, nsub=4, nbits=2)).add(df)
+    raw = IvfIndex(index.centroids, "l2", IndexConfig(type="ivf", nlist=8, nprobe=3)).add(df)
+    assert sorted(index.search(q, 5).collect()) == sorted(raw.search(q, 5).collect())
+    probes = index.probes(x[:30])
+    found = index._scanned(index.postings.coalesce(1), np.arange(30), x[:30], probes, 5, None)
+    assert found.count() <= 30 * 5
