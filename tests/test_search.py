@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from vecloom.functions import vectors as V
 from vecloom.operators import aggregates as A
 from vecloom.operators import filters as Q
+from vecloom.operators import hnsw as H
 from vecloom.operators import mutations as M
 from vecloom.operators import search as S
 from vecloom.operators.hnsw import HnswIndex
@@ -259,7 +260,6 @@ def test_all_results_of_a_query_are_ranked_where_they_are_found(spark, data, mon
             assert [(r["distance"], r["vid"], r["rank"]) for r in found if r["query_id"] == q] == [(e, v, n + 1) for n, (e, v) in enumerate(want)]
 
 
-
 def test_bounds_are_below_the_distances():
     """So that no nearest row of an all-pairs search is lost, whatever the numbers."""
     rng = np.random.default_rng(3)
@@ -278,7 +278,6 @@ def test_bounds_are_below_the_distances():
                 assert held.vid[i].tolist() == (59 - want).tolist() and np.array_equal(held.d[i], d[i][want], equal_nan=True)
 
 
-
 def test_range_with_capacity_keeps_no_more(spark, data):
     x, df = data
     got = S.range_search(df, S.query_frame(spark, x[:30]), 1000.0, capacity=7)
@@ -290,7 +289,6 @@ def test_range_with_capacity_keeps_no_more(spark, data):
     assert S.range_search(df, S.query_frame(spark, x[:3]), 1000.0, capacity=0).count() == 0
 
 
-
 def test_range_results_leave_a_task_in_small_batches(spark, data):
     x, df = data
     q = S.query_frame(spark, x[:20])
@@ -302,7 +300,6 @@ def test_range_results_leave_a_task_in_small_batches(spark, data):
     assert sum(sizes) == 300_000 and max(sizes) < 1 << 17
 
 
-
 def test_index_range_is_ranked_where_it_is_found(spark, data):
     x, df = data
     q = S.query_frame(spark, x[:50])
@@ -316,7 +313,6 @@ def test_index_range_is_ranked_where_it_is_found(spark, data):
             assert sorted(index.range_search(q, 25.0, nprobe=8).collect()) == sorted(S.range_search(df, q, 25.0).collect())
 
 
-
 def test_vectors_beside_product_codes_rank_the_probed_lists(spark, data):
     """All of them, however the rows are dealt; a partition gives k candidates a query, not k a batch and list."""
     x, df = data
@@ -327,3 +323,18 @@ def test_vectors_beside_product_codes_rank_the_probed_lists(spark, data):
     probes = index.probes(x[:30])
     found = index._scanned(index.postings.coalesce(1), np.arange(30), x[:30], probes, 5, None)
     assert found.count() <= 30 * 5
+
+
+@pytest.mark.parametrize("kind, metric", [("hnsw", "l2"), ("hnsw_sq", "cosine"), ("hnsw_pq", "l2")])
+def test_many_queries_scan_the_shards(spark, data, monkeypatch, kind, metric):
+    """Scans cost less than so many walks, and find the nearest rows that walks may miss; each shard has its own task."""
+    x, df = data
+    index = HnswIndex.build(df, IndexConfig(type=kind, nsub=8, nbits=4, ef_construction=40, ef_search=10, shards=3), metric)
+    assert index.graph.select("shard", F.spark_partition_id().alias("task")).distinct().count() == 3
+    q = S.query_frame(spark, x[:30])
+    monkeypatch.setattr(H, "SCANNED", 30)
+    want = S.knn(df, q, 5, metric)
+    assert S.recall(index.search(q, 5), want) >= (0.9 if kind == "hnsw_sq" else 1)
+    if kind == "hnsw":
+        assert sorted(index.search(q, 5).collect()) == sorted(want.collect())
+        assert sorted(index.search(q, 5, where=Q.eq("n", 3)).collect()) == sorted(S.knn(df.filter("n = 3"), q, 5, metric).collect())
